@@ -75,17 +75,17 @@ ORACLE_SQL: dict[str, str] = {
         body AS (SELECT conv_id, coalesce(string_agg(r, '' ORDER BY k) FILTER (k < n), '') AS body, max(n) AS n FROM t GROUP BY conv_id),
         pair AS (
             SELECT body.conv_id, body.body, body.n, c.r AS cr, j.r AS jr, c.h AS ch, c.b AS cb, c.a AS ca, j.h AS jh, j.b AS jb, j.a AS ja,
-                   j.conv_id IS NOT NULL AS both
+                   j.conv_id IS NOT NULL AS paired
             FROM body JOIN last c USING (conv_id) LEFT JOIN last j ON j.conv_id = xor(body.conv_id, 1))
         SELECT conv_id,
-               CAST(CASE WHEN NOT both THEN 0 WHEN cr = jr THEN n ELSE n - 1 END AS INTEGER) AS prompt_turns,
-               CASE WHEN NOT both THEN '' WHEN cr = jr THEN body || cr ELSE body END AS prompt,
-               CASE WHEN NOT both THEN (SELECT string_agg(r, '' ORDER BY k) FROM t WHERE t.conv_id = pair.conv_id) WHEN cr = jr THEN '' ELSE cr END AS chosen,
-               CASE WHEN NOT both THEN NULL WHEN cr = jr THEN '' ELSE jr END AS rejected,
-               CASE WHEN NOT both THEN (
+               CAST(CASE WHEN NOT paired THEN 0 WHEN cr = jr THEN n ELSE n - 1 END AS INTEGER) AS prompt_turns,
+               CASE WHEN NOT paired THEN '' WHEN cr = jr THEN body || cr ELSE body END AS prompt,
+               CASE WHEN NOT paired THEN (SELECT string_agg(r, '' ORDER BY k) FROM t WHERE t.conv_id = pair.conv_id) WHEN cr = jr THEN '' ELSE cr END AS chosen,
+               CASE WHEN NOT paired THEN NULL WHEN cr = jr THEN '' ELSE jr END AS rejected,
+               CASE WHEN NOT paired THEN (
                         SELECT coalesce(string_agg(CAST(s + h AS VARCHAR) || '-' || CAST(s + h + b AS VARCHAR), ',' ORDER BY k) FILTER (a), '')
                         FROM (SELECT *, coalesce(sum(h + b) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM t) u WHERE u.conv_id = pair.conv_id)
                     WHEN cr = jr OR NOT ca THEN '' ELSE CAST(ch AS VARCHAR) || '-' || CAST(ch + cb AS VARCHAR) END AS chosen_mask,
-               CASE WHEN NOT both THEN NULL WHEN cr = jr OR NOT ja THEN '' ELSE CAST(jh AS VARCHAR) || '-' || CAST(jh + jb AS VARCHAR) END AS rejected_mask
+               CASE WHEN NOT paired THEN NULL WHEN cr = jr OR NOT ja THEN '' ELSE CAST(jh AS VARCHAR) || '-' || CAST(jh + jb AS VARCHAR) END AS rejected_mask
         FROM pair""",
 }
