@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from spanloom.plans import calls, entity, evaluation, flagship, text
+
+QUERIES = {k: v for m in (calls, text, entity, evaluation, flagship) for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in (calls, text, entity, evaluation, flagship) for k, v in m.ORACLE_SQL.items()}
