@@ -71,11 +71,14 @@ def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int =
     """
     ranges = find_repeats(docs, gram_words, min_words, id_col, text_col).select(F.col("key.id").alias("_id"), F.col("key.text").alias("_hash"), F.col("ranges").alias("_ranges"))
     text = docs[text_col].cast("string")
-    joined = docs.join(ranges, (docs[id_col] == F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(F.when(F.col(f"`{text_col}`").isNotNull(), lines)), F.lit(0))).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("_row")  # so that no column's name can clash
+    rows = docs.select(whole, docs[id_col].alias("_own"), F.xxhash64(text).alias("_text"))
+    joined = rows.join(ranges, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
+    text = F.col(f"_row.`{text_col}`").cast("string")
+    lines = F.split(text, "\n")
     stays = F.filter(lines, lambda _, i: ~F.exists("_ranges", lambda r: (r["lo"] <= i) & (i <= r["hi"])))
-    kept = F.when(F.col("_ranges").isNotNull(), stays)
-    joined = joined.withColumn("n_removed", F.when(F.col("_ranges").isNotNull(), F.col("n_lines") - F.size(kept)).otherwise(0))
-    joined = joined.withColumn(text_col, F.when(F.col("_ranges").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(f"`{text_col}`")))
-    return joined.drop("_id", "_hash", "_ranges")
+    joined = joined.select("_row", F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col("_ranges").isNotNull(), stays).alias("_kept"))
+    cleaned = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(text)
+    added = {"n_lines": F.col("n_lines"), "n_removed": F.when(F.col("_kept").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(0)}
+    columns = [cleaned.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns if c not in added]
+    return joined.select(*columns, *(x.alias(c) for c, x in added.items()))

@@ -83,7 +83,8 @@ def with_plan(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, flatten: float = FLATTEN, max_repeats: float = MAX_REPEATS, budget_tokens: int | None = None, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, each row as often as the mixture takes it, with _epoch, _block, _tokens, _weight, _exponent.
+    """docs, each row as often as the mixture takes it, with _epoch, _block, _tokens, _weight, _exponent
+    (which replace columns of these names; no other name matters).
 
     budget_tokens: of the mixture; as many as docs has, unless given. A source gets its share to
     within one document. A null source is a source of its own; null and blank texts have no tokens
@@ -91,7 +92,8 @@ def mix(docs: DataFrame, flatten: float = FLATTEN, max_repeats: float = MAX_REPE
     id and text have the same place in every pass and are taken or left together. Ties go by the id.
     """
     key = F.xxhash64(docs[id_col], docs[text_col], F.lit("mix"))
-    rows = docs.withColumns({"_source": F.coalesce(docs[source_col].cast("string"), F.lit("\0")), "_tokens": tokens_of(docs[text_col].cast("string")), "_key": key})
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("_row")  # so that no column's name can clash
+    rows = docs.select(whole, F.coalesce(docs[source_col].cast("string"), F.lit("\0")).alias("_source"), tokens_of(docs[text_col].cast("string")).alias("_tokens"), key.alias("_key"))
     light = cut(rows.select(F.col("_source").alias("source"), F.col("_tokens").alias("tokens"), F.col("_key").alias("key")))
     plan, exponent = plan_sources(light, flatten, max_repeats, budget_tokens, block_docs)
     plan = cut(plan)
@@ -117,7 +119,8 @@ def mix(docs: DataFrame, flatten: float = FLATTEN, max_repeats: float = MAX_REPE
     in_rest = (order < F.col("_plan.last_order")) | ((F.col("_block") == F.col("_plan.last_block")) & (F.xxhash64("_key", "_plan.passes") <= F.col("_plan.last_place")))
     copies = F.col("_plan.passes") + F.coalesce(in_rest, F.lit(False)).cast("int")
     out = joined.withColumn("_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    return out.withColumn("_weight", F.col("_plan.weight")).withColumn("_exponent", F.lit(exponent)).drop("_source", "_key", "_plan")
+    added = {"_epoch": F.col("_epoch"), "_block": F.col("_block"), "_tokens": F.col("_tokens"), "_weight": F.col("_plan.weight"), "_exponent": F.lit(exponent)}
+    return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in added), *(x.alias(c) for c, x in added.items()))
 
 
 def block_order(source: str, block: str, epoch: str) -> Column:

@@ -31,8 +31,8 @@ from spanloom.llm.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 3
-#: Leaders tried for each key before its remaining texts are aligned with all others.
-LEADER_ROUNDS = 2
+#: Leaders tried for each key, one after the other, before its remaining texts are aligned with all others.
+LEADER_ROUNDS = 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -199,4 +199,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows whose group keeps another id; only the dropped ids are shuffled with docs."""
     dropped = groups.where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("_dropped"), "left_anti")
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
