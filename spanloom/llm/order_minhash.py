@@ -5,10 +5,10 @@
    Each of SKETCHES hash orders picks the PICKS smallest ones and hashes them *in text order*: texts
    agree on such a key if they share those shingles in the same order. For a shingle similarity of
    0.8 a key agrees with probability 0.8^3, and no key of 12 with (1 - 0.8^3)^12 < 2e-4.
-3. The texts of a key are not paired with each other: in the first rounds each is aligned with the
-   key's leader only. What a leader didn't join is aligned with every text of another component that
-   shares a key with it, so that each candidate pair ends up in one component or was aligned itself.
-   No key has a cap.
+3. The texts of a key are not paired with each other: each is aligned with the key's leader only, in
+   the first round its most central text (that of the largest keys), in the next one another. Of keys
+   that still hold several components after that, those of at most ALL_PAIRS_UP_TO texts have all
+   their remaining pairs aligned; in larger ones the leaders' links are what is found (see README).
 4. Alignment: the longest common subsequence of the two labelled shingle sequences inside the band
    that a similarity of 0.8 leaves, as a longest increasing subsequence of matched positions.
    similarity = common / (n + m - common).
@@ -31,8 +31,8 @@ from spanloom.llm.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 3
-#: Leaders tried for each key, one after the other, before its remaining texts are aligned with all others.
-LEADER_ROUNDS = 1
+#: Leaders tried for each key, one after the other, and texts of a key that are aligned with all others then.
+LEADER_ROUNDS, ALL_PAIRS_UP_TO = 2, 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,8 +132,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     sketched = usable.mapInPandas(sketch, f"id {id_type}, node binary, n bigint, keys array<bigint>")
     classes = cut(sketched.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))  # equal texts, equal keys
     entries = classes.select("node", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    entries = cut(entries.join(shared, "key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = entries.join(shared, "key")
+    entries = cut(met.join(met.groupBy("node").agg(F.sum("m").alias("central")), "node").drop("m"))
     needed = entries.select("node").distinct().join(classes.select("node", "rep"), "node")
     texts = cut(usable.join(needed.select("node", F.col("rep").alias("id")), ["id", "node"]).select("node", "text").dropDuplicates(["node"]))
 
@@ -164,21 +165,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
         now = entries.withColumn("c", F.col("node"))
         if component is not None:
             now = entries.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            now = cut(now.join(mixed, "key"))  # keys whose texts are not all in one component yet
+            mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+            mixed = mixed.where(F.col("m") <= ALL_PAIRS_UP_TO) if turn == leader_rounds else mixed
+            now = cut(now.join(mixed.select("key"), "key"))  # keys whose texts are not all in one component yet
         p = now.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
         if turn < leader_rounds:
-            order = F.xxhash64("node", F.lit(turn))
+            order = -F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn))
             q = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "c"), F.struct(order, "node")).alias("q"))
             q = q.select("key", F.col("q.node").alias("q"), F.col("q.n").alias("qn"), F.col("q.c").alias("qc"))
         else:
             q = p.select("key", F.col("p").alias("q"), F.col("pn").alias("qn"), F.col("pc").alias("qc"))
         pairs = ordered(p.join(q, "key").where("pc <> qc"))
         pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < leader_rounds:
-                continue
-            break
         checked = verify(pairs)
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         new = checked.where("linked").select("a", "b")
