@@ -6,7 +6,7 @@
    agree on such a key if they share those shingles in the same order. For a shingle similarity of
    0.8 a key agrees with probability 0.8^3, and no key of 12 with (1 - 0.8^3)^12 < 2e-4.
 3. The texts of a key are not paired with each other: each is aligned with the key's leader only, in
-   the first round its most central text (that of the largest keys), in the next one another. Of keys
+   the first round its most central text (that of the largest keys), in a next one another. Of keys
    that still hold several components after that, those of at most ALL_PAIRS_UP_TO texts have all
    their remaining pairs aligned; in larger ones the leaders' links are what is found (see README).
 4. Alignment: the longest common subsequence of the two labelled shingle sequences inside the band
@@ -32,7 +32,7 @@ from spanloom.llm.components import connected_components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 3
 #: Leaders tried for each key, one after the other, and texts of a key that are aligned with all others then.
-LEADER_ROUNDS, ALL_PAIRS_UP_TO = 2, 16
+LEADER_ROUNDS, ALL_PAIRS_UP_TO = 1, 16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,6 +177,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
             q = p.select("key", F.col("p").alias("q"), F.col("pn").alias("qn"), F.col("pc").alias("qc"))
         pairs = ordered(p.join(q, "key").where("pc <> qc"))
         pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
         checked = verify(pairs)
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         new = checked.where("linked").select("a", "b")
