@@ -81,7 +81,7 @@ def sketch_keys(shingles: np.ndarray, sketches: int = SKETCHES, picks: int = PIC
         return np.zeros(0, np.int64)
     keys = np.empty(sketches, np.uint64)
     for s in range(sketches):
-        v = mix(shingles + np.uint64(s + 1) * _STEP)
+        v = mix(shingles + np.uint64((s + 1) * int(_STEP) % 2**64))
         chosen = np.sort(np.argpartition(v, picks)[:picks]) if len(v) > picks else np.arange(len(v))
         h = np.full(1, s, np.uint64)
         for x in shingles[chosen]:
