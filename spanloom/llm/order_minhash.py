@@ -5,10 +5,12 @@
    Each of SKETCHES hash orders picks the PICKS smallest ones and hashes them *in text order*: texts
    agree on such a key if they share those shingles in the same order. For a shingle similarity of
    0.8 a key agrees with probability 0.8^3, and no key of 12 with (1 - 0.8^3)^12 < 2e-4.
-3. The texts of a key are not paired with each other: each is aligned with the key's leader only, in
-   the first round its most central text (that of the largest keys), in a next one another. Of keys
-   that still hold several components after that, those of at most ALL_PAIRS_UP_TO texts have all
-   their remaining pairs aligned; in larger ones the leaders' links are what is found (see README).
+3. First each text of a key is aligned with the key's leader only, the most central text (that of the
+   largest keys). Keys that still hold several components then are searched whole, in blocks of
+   BLOCK_SHINGLES: a block is compared with each block of its key that could hold a link, not with
+   those of its own component or of other lengths. One task holds two blocks, counts the shingles
+   their texts share, aligns what can reach the similarity and is not joined yet, and returns a
+   spanning forest of the links: no row is made for a pair and no text of a key is left out.
 4. Alignment: the longest common subsequence of the two labelled shingle sequences inside the band
    that a similarity of 0.8 leaves, as a longest increasing subsequence of matched positions.
    similarity = common / (n + m - common).
@@ -31,8 +33,8 @@ from spanloom.llm.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 3
-#: Leaders tried for each key, one after the other, and texts of a key that are aligned with all others then.
-LEADER_ROUNDS, ALL_PAIRS_UP_TO = 1, 16
+#: Size of a block, in shingles with TEXT_WEIGHT more for each text; texts from which a component has blocks of its own.
+BLOCK_SHINGLES, TEXT_WEIGHT, OWN_BLOCKS_FROM = 65_536, 64, 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,7 +112,83 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return len(tails) / (n + m - len(tails))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS, leader_rounds: int = LEADER_ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def forest(nodes: list, shingles: list[np.ndarray], components: list, first: np.ndarray, second: np.ndarray, least: float = SIMILARITY) -> list[tuple]:
+    """Links between texts numbered in first and in second that join everything linked there.
+
+    Texts of one component count as joined. A pair whose shared shingles can't reach the least
+    similarity is not aligned, nor is one that other links have joined already.
+    """
+    parent = {c: c for c in components}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    sizes = np.array([len(x) for x in shingles])
+    second = second[sizes[second] > 0]
+    if not len(second):
+        return []
+    values = np.unique(np.concatenate(shingles))
+    held = np.concatenate([np.searchsorted(values, shingles[j]) for j in second])
+    starts = np.concatenate([[0], np.cumsum(sizes[second])[:-1]])
+    has = np.zeros(len(values), bool)
+    links = []
+    for i in first.tolist():
+        at = np.searchsorted(values, shingles[i])
+        has[at] = True
+        common = np.add.reduceat(has[held], starts, dtype=np.int64)
+        has[at] = False
+        for j in second[common >= least * (sizes[i] + sizes[second]) / (1 + least) - 1e-9].tolist():
+            x, y = root(components[i]), root(components[j])
+            if x != y and aligned_similarity(shingles[i], shingles[j], least) >= least:
+                parent[x] = y
+                links.append((nodes[i], nodes[j]))
+    return links
+
+
+def block_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) within the keys of entries (key, node, n, c) that hold several components c.
+
+    Keys of two texts are left out: the leader was aligned with the other one.
+    """
+    none = F.expr("X''")
+    several = entries.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.col("n") + TEXT_WEIGHT).alias("size"))
+    several = several.where("lo <> hi and m > 2").select("key", (F.col("size") > BLOCK_SHINGLES).alias("split"))
+    # texts that are similar enough are of one length class or of neighbouring ones; 1.001 for rounding
+    length = F.when(F.col("split"), F.floor(F.log("n") / F.log(F.lit(1.001 / similarity)))).otherwise(0)
+    now = cut(entries.join(several, "key").select("key", "node", "n", "c", "split", length.cast("int").alias("length")))
+    own = now.where("split").groupBy("key", "length", "c").agg(F.count("*").alias("m")).where(F.col("m") >= OWN_BLOCKS_FROM)
+    now = now.join(own.withColumn("own", F.col("c")).drop("m"), ["key", "length", "c"], "left").withColumn("own", F.coalesce("own", none))
+    cells = now.groupBy("key", "length", "own").agg(F.ceil(F.sum(F.col("n") + TEXT_WEIGHT) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    cells = cut(cells)
+    members = now.join(cells, ["key", "length", "own"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.select("key", F.struct("length", "own", "i").alias("block"), "node", "c")
+    blocks = cells.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.struct("length", "own", "i").alias("block"))
+    a, b = blocks.withColumnRenamed("block", "p"), blocks.withColumnRenamed("block", "q")
+    near = (F.col("q.length") - F.col("p.length")).isin(0, 1) & (F.col("p") <= F.col("q"))
+    met = a.join(b, "key").where(near & ((F.col("p.own") != F.col("q.own")) | (F.col("p.own") == none)))
+    sides = met.withColumn("block", F.explode(F.array_distinct(F.array("p", "q"))))
+    needed = members.select("node").distinct()
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "shingles": [labelled_shingles(t, hashes).view(np.int64) for t in batch["text"]]})
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        shingles = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]
+        first, second = np.flatnonzero(group["in_p"]), np.flatnonzero(group["in_q"])
+        found = forest(group["node"].tolist(), shingles, group["c"].tolist(), first, second, similarity)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    sets = texts.join(needed, "node").mapInPandas(arrays, "node binary, shingles array<bigint>")
+    held = members.join(sides, ["key", "block"]).join(sets, "node")
+    held = held.select("key", "p", "q", "node", "c", "shingles", (F.col("block") == F.col("p")).alias("in_p"), (F.col("block") == F.col("q")).alias("in_q"))
+    return cut(held.groupBy("key", "p", "q").applyInPandas(link, "a binary, b binary"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, class_id, component_id, kept) for each row.
 
     class_id: smallest id with the same text; component_id: smallest id reachable by links; kept: the
@@ -160,37 +238,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
         fits = F.least("pn", "qn") >= F.lit(similarity) * F.greatest("pn", "qn")
         return candidates.where((F.col("p") != F.col("q")) & fits).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
-    done = links = component = None
-    for turn in range(leader_rounds + 1):
-        now = entries.withColumn("c", F.col("node"))
-        if component is not None:
-            now = entries.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-            mixed = mixed.where(F.col("m") <= ALL_PAIRS_UP_TO) if turn == leader_rounds else mixed
-            now = cut(now.join(mixed.select("key"), "key"))  # keys whose texts are not all in one component yet
-        p = now.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-        if turn < leader_rounds:
-            order = -F.col("central") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            q = now.groupBy("key").agg(F.min_by(F.struct("node", "n", "c"), F.struct(order, "node")).alias("q"))
-            q = q.select("key", F.col("q.node").alias("q"), F.col("q.n").alias("qn"), F.col("q.c").alias("qc"))
-        else:
-            q = p.select("key", F.col("p").alias("q"), F.col("pn").alias("qn"), F.col("pc").alias("qc"))
-        pairs = ordered(p.join(q, "key").where("pc <> qc"))
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        checked = verify(pairs)
-        done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
-        new = checked.where("linked").select("a", "b")
-        links = new if links is None else links.union(new)
-        component = connected_components(links)
+    lead = entries.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.struct(-F.col("central"), "node")).alias("q")).select("key", F.col("q.node").alias("q"), F.col("q.n").alias("qn"))
+    p = entries.select("key", F.col("node").alias("p"), F.col("n").alias("pn"))
+    links = verify(cut(ordered(p.join(lead, "key")))).where("linked").select("a", "b")
+    joined = connected_components(links)
+    now = entries.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    more = block_links(now, texts, similarity)
+    component = joined if more.isEmpty() else connected_components(links.union(more))
 
     named = classes.select("node", F.col("rep").alias("class_id"))
-    if component is None:
-        named = named.withColumn("component_id", F.col("class_id"))
-    else:
-        of = named.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        named = of.join(of.groupBy("c").agg(F.min("class_id").alias("component_id")), "c").drop("c")
+    of = named.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    named = of.join(of.groupBy("c").agg(F.min("class_id").alias("component_id")), "c").drop("c")
     out = source.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
     component_id = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"))

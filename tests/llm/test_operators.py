@@ -262,6 +262,29 @@ def test_near_duplicates(spark, odd):
     assert order_minhash.keep_one(odd, odds).count() == odd.count() - 4
 
 
+def test_near_duplicates_in_large_keys(spark, monkeypatch):
+    """Many texts with one passage, some near each other, some not: nothing is missed over several blocks."""
+    monkeypatch.setattr(order_minhash, "BLOCK_SHINGLES", 4000)
+    monkeypatch.setattr(order_minhash, "OWN_BLOCKS_FROM", 8)
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(160):
+        t = base[: rng.integers(110, 151)]
+        at = rng.integers(0, 120)
+        own = rng.integers(1, 45)
+        texts[i] = " ".join([*t[:at], *(f"x{rng.integers(10**6)}" for _ in range(own)), *t[at:]])
+    hashes = order_minhash.WordHashes()
+    s = {i: order_minhash.labelled_shingles(t, hashes) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and order_minhash.aligned_similarity(s[a], s[b]) >= 0.8]
+    label = {i: i for i in texts}
+    for _ in range(12):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.doc_id: r.component_id for r in order_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    assert got == label and 1 < len(set(label.values())) < len(texts)
+
+
 def test_components(spark):
     c = connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (60, 60)], "a int, b int"))
     assert {r.node: r.component for r in c.collect()} == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
