@@ -34,7 +34,7 @@ from spanloom.llm.components import connected_components
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 3
 #: Size of a block, in shingles with TEXT_WEIGHT more for each text; texts from which a component has blocks of its own.
-BLOCK_SHINGLES, TEXT_WEIGHT, OWN_BLOCKS_FROM = 65_536, 64, 32
+BLOCK_SHINGLES, TEXT_WEIGHT, OWN_BLOCKS_FROM = 262_144, 64, 32
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
