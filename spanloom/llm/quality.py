@@ -110,27 +110,33 @@ def fit(stats: np.ndarray, word_rows: list[tuple[np.ndarray, np.ndarray]], y: np
     share = np.clip(y.mean(), 0.02, 0.98)
     fm.w0 = float(np.log(share / (1 - share)))
     rows = [fm.features(s, *w) for s, w in zip(stats, word_rows, strict=True)]
-    m = [np.zeros(SIZE), np.zeros((SIZE, RANK))]
-    u = [np.zeros(SIZE), np.zeros((SIZE, RANK))]
+    p = np.concatenate([fm.v, fm.w[:, None]], axis=1)
+    decay = np.array([1e-3] * RANK + [1e-4])
+    m, u = np.zeros_like(p), np.zeros_like(p)
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), 64):
             step += 1
-            gw, gv = np.zeros(SIZE), np.zeros((SIZE, RANK))
             batch = order[at : at + 64]
-            for i in batch:
-                ids, x = rows[i]
-                vx = fm.v[ids] * x[:, None]
-                s = vx.sum(0)
-                e = 1 / (1 + np.exp(-(fm.w0 + fm.w[ids] @ x + 0.5 * (s @ s - (vx * vx).sum())))) - y[i]
-                gw[ids] += e * x  # the ids of a row are distinct
-                gv[ids] += e * x[:, None] * (s - vx)
-                fm.w0 -= 0.002 * e
-            for k, (p, g) in enumerate(((fm.w, gw / len(batch) + 1e-4 * fm.w), (fm.v, gv / len(batch) + 1e-3 * fm.v))):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                u[k] = 0.999 * u[k] + 0.001 * g * g
-                p -= 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(u[k] / (1 - 0.999**step)) + 1e-8)
+            sizes = np.array([len(rows[i][0]) for i in batch])
+            starts = np.cumsum(sizes) - sizes
+            ids, x = (np.concatenate([rows[i][k] for i in batch]) for k in (0, 1))
+            px = p[ids] * x[:, None]  # the last column is the linear part
+            sums = np.add.reduceat(px, starts)
+            squares = np.add.reduceat((px[:, :RANK] ** 2).sum(1), starts)
+            logit = fm.w0 + sums[:, RANK] + 0.5 * ((sums[:, :RANK] ** 2).sum(1) - squares)
+            e = 1 / (1 + np.exp(-logit)) - y[batch]
+            fm.w0 -= 0.002 * e.sum()
+            slope = np.repeat(sums, sizes, axis=0) - px
+            slope[:, RANK] = 1
+            slope *= (np.repeat(e, sizes) * x)[:, None]
+            cell = ids[:, None] * (RANK + 1) + np.arange(RANK + 1)
+            g = np.bincount(cell.ravel(), slope.ravel(), p.size).reshape(p.shape) / len(batch) + decay * p
+            m += 0.1 * (g - m)
+            u += 0.001 * (g * g - u)
+            p -= 0.02 / (1 - 0.9**step) * m / (np.sqrt(u / (1 - 0.999**step)) + 1e-8)
+    fm.v, fm.w = np.ascontiguousarray(p[:, :RANK]), np.ascontiguousarray(p[:, RANK])
     return fm
 
 
