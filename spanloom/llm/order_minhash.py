@@ -11,9 +11,11 @@
    those of its own component or of other lengths. One task holds two blocks, counts the shingles
    their texts share, aligns what can reach the similarity and is not joined yet, and returns a
    spanning forest of the links: no row is made for a pair and no text of a key is left out.
-4. Alignment: the longest common subsequence of the two labelled shingle sequences inside the band
-   that a similarity of 0.8 leaves, as a longest increasing subsequence of matched positions.
-   similarity = common / (n + m - common).
+4. Alignment: the longest common subsequence of the two shingle sequences without their labels (a copy
+   of a passage may match any other copy), inside the band that a similarity of 0.8 leaves, as a longest
+   increasing subsequence of all matched positions; with bit vectors where a text repeats itself so
+   much that these are many. similarity = common / (n + m - common). Labelled shingles in common count
+   what two texts share as multisets, which bounds the alignment.
 5. Components of the links are the groups; the smallest doc_id of a group stays.
 """
 
@@ -35,6 +37,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, PICKS = 12, 3
 #: Size of a block, in shingles with TEXT_WEIGHT more for each text; texts from which a component has blocks of its own.
 BLOCK_SHINGLES, TEXT_WEIGHT, OWN_BLOCKS_FROM = 262_144, 64, 32
+#: Matched positions, for each shingle of two texts, up to which they are listed.
+FEW_MATCHES = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,8 +59,8 @@ class WordHashes(dict):
         return h
 
 
-def labelled_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """Hashes of the k-word shingles in text order, each with its occurrence number hashed in.
+def plain_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of the k-word shingles in text order.
 
     A text of 1 to k - 1 words has one shingle, all its words; one without words has none.
     """
@@ -68,6 +72,13 @@ def labelled_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) ->
     shingle = np.zeros(len(h) - k + 1, np.uint64)
     for j in range(k):
         shingle = mix(shingle + _STEP + h[j : j + len(shingle)])
+    return shingle
+
+
+def labelled(shingle: np.ndarray) -> np.ndarray:
+    """Shingles in text order, each with its occurrence number hashed in."""
+    if not len(shingle):
+        return shingle
     order = np.argsort(shingle, kind="stable")
     ranked = shingle[order]
     fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -77,6 +88,10 @@ def labelled_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) ->
     return mix(shingle + _STEP * (occurrence + np.uint64(1)))
 
 
+def labelled_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) -> np.ndarray:
+    return labelled(plain_shingles(text, hashes, k))
+
+
 def sketch_keys(shingles: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
     """One key for each hash order: the picks smallest labelled shingles, hashed in text order."""
     if not len(shingles):
@@ -92,24 +107,61 @@ def sketch_keys(shingles: np.ndarray, sketches: int = SKETCHES, picks: int = PIC
     return keys.view(np.int64)
 
 
+def bit_lcs(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence with a bit for each place of b (Hyyro, 2004), however often values repeat."""
+    values, inverse, counts = np.unique(b, return_inverse=True, return_counts=True)
+    places = dict(zip(values.tolist(), np.split(np.argsort(inverse, kind="stable"), np.cumsum(counts)[:-1]), strict=True))
+    masks: dict[int, int] = {}  # of frequent values only, at most len(b) / 64
+    every = (1 << len(b)) - 1
+    v = every
+    for x in a.tolist():
+        if (mask := masks.get(x)) is None:
+            if (at := places.get(x)) is None:
+                continue
+            bits = np.zeros(len(b), np.uint8)
+            bits[at] = 1
+            mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if len(at) > 64:
+                masks[x] = mask
+        u = v & mask
+        v = ((v + u) | (v - u)) & every
+    return len(b) - v.bit_count()
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """common / (n + m - common) of the best alignment in the band; below least, possibly 0."""
+    """common / (n + m - common) of the best alignment in the band; below least, possibly 0. Values may repeat."""
     n, m = len(a), len(b)
     need = least * (n + m) / (1 + least) - 1e-9  # common shingles that the least similarity takes
     if not n or not m or min(n, m) < need:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    inside = np.abs(i - j) <= n + m - 2 * need  # indels that are left
-    i, j = i[inside], j[inside]
-    if len(i) < need:
+    differ = np.flatnonzero(a[: min(n, m)] != b[: min(n, m)])  # an equal start and an equal end are in some longest one
+    start = int(differ[0]) if len(differ) else min(n, m)
+    a, b = a[start:], b[start:]
+    short = min(len(a), len(b))
+    differ = np.flatnonzero(a[len(a) - short :][::-1] != b[len(b) - short :][::-1])
+    end = int(differ[0]) if len(differ) else short
+    a, b, common = a[: len(a) - end], b[: len(b) - end], start + end
+    order = np.argsort(b, kind="stable")
+    ranked = b[order]
+    lo, hi = np.searchsorted(ranked, a), np.searchsorted(ranked, a, "right")
+    counts = hi - lo
+    if common + np.count_nonzero(counts) < need:
         return 0.0
+    if (matches := int(counts.sum())) > FEW_MATCHES * (n + m):
+        common += bit_lcs(a, b)
+        return common / (n + m - common)
+    # all matched positions, those of one i from the last j to the first, so that only one of them can count
+    i = np.repeat(np.arange(len(a)), counts)
+    j = order[np.repeat(hi - 1 + np.cumsum(counts) - counts, counts) - np.arange(matches)]
+    j = j[np.abs(i - j) <= n + m - 2 * need]  # indels that are left
     tails: list[int] = []
-    for x in j[np.argsort(i)].tolist():
+    for x in j.tolist():
         if (at := bisect_left(tails, x)) == len(tails):
             tails.append(x)
         else:
             tails[at] = x
-    return len(tails) / (n + m - len(tails))
+    common += len(tails)
+    return common / (n + m - common)
 
 
 def forest(nodes: list, shingles: list[np.ndarray], components: list, first: np.ndarray, second: np.ndarray, least: float = SIMILARITY) -> list[tuple]:
@@ -129,13 +181,14 @@ def forest(nodes: list, shingles: list[np.ndarray], components: list, first: np.
     second = second[sizes[second] > 0]
     if not len(second):
         return []
-    values = np.unique(np.concatenate(shingles))
-    held = np.concatenate([np.searchsorted(values, shingles[j]) for j in second])
+    counted = [labelled(x) for x in shingles]  # in common as often as in both
+    values = np.unique(np.concatenate(counted))
+    held = np.concatenate([np.searchsorted(values, counted[j]) for j in second])
     starts = np.concatenate([[0], np.cumsum(sizes[second])[:-1]])
     has = np.zeros(len(values), bool)
     links = []
     for i in first.tolist():
-        at = np.searchsorted(values, shingles[i])
+        at = np.searchsorted(values, counted[i])
         has[at] = True
         common = np.add.reduceat(has[held], starts, dtype=np.int64)
         has[at] = False
@@ -174,7 +227,7 @@ def block_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILA
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [labelled_shingles(t, hashes).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "shingles": [plain_shingles(t, hashes).view(np.int64) for t in batch["text"]]})
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         shingles = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]
@@ -223,8 +276,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
             linked = []
             for left, right in zip(batch["left"], batch["right"], strict=True):
                 if left != last[0]:
-                    last = (left, labelled_shingles(left, hashes))
-                linked.append(aligned_similarity(last[1], labelled_shingles(right, hashes), similarity) >= similarity)
+                    last = (left, plain_shingles(left, hashes))
+                linked.append(aligned_similarity(last[1], plain_shingles(right, hashes), similarity) >= similarity)
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
 
     def verify(pairs: DataFrame) -> DataFrame:

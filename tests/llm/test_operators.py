@@ -285,6 +285,41 @@ def test_near_duplicates_in_large_keys(spark, monkeypatch):
     assert got == label and 1 < len(set(label.values())) < len(texts)
 
 
+def plain_alignment(a, b):
+    """Longest common subsequence of the five-word shingles, by the table of all positions."""
+    a, b = ([tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] for w in (a.split(), b.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(above[j] + 1 if x == y else max(above[j + 1], row[-1]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def test_alignment_of_repeated_passages(spark, monkeypatch):
+    """A copy of a passage may match any other copy: against a plain alignment, listed matches and bit vectors alike."""
+    rng = np.random.default_rng(17)
+    line = " ".join(f"l{i}" for i in range(12))
+    parts = [x for k in range(10) for x in (line, " ".join(f"o{k}x{i}" for i in range(25)))]
+    pairs = [(" ".join(parts), " ".join(parts[1:])), ("a b " * 200, "a b " * 180), ("a " * 300, "a " * 260 + "b " * 9)]
+    for _ in range(40):
+        lines = [" ".join(f"w{rng.integers(30)}" for _ in range(rng.integers(3, 14))) for _ in range(4)]
+        t = [lines[rng.integers(4)] if rng.random() < 0.6 else f"own{rng.integers(99)}" for _ in range(rng.integers(5, 30))]
+        u = [x for x in t if rng.random() > 0.08] or t
+        pairs.append((" ".join(t), " ".join(u)))
+    linked = 0
+    for few in (8, 0):
+        monkeypatch.setattr(order_minhash, "FEW_MATCHES", few)
+        for a, b in pairs:
+            want, hashes = plain_alignment(a, b), order_minhash.WordHashes()
+            got = order_minhash.aligned_similarity(order_minhash.plain_shingles(a, hashes), order_minhash.plain_shingles(b, hashes))
+            assert np.isclose(got, want) if want >= 0.8 else got < 0.8
+            linked += want >= 0.8
+    assert linked > 20
+    df = spark.createDataFrame([(0, pairs[0][0]), (1, pairs[0][1]), (2, "quite other words than those")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in order_minhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+
+
 def test_components(spark):
     c = connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51), (51, 50), (60, 60)], "a int, b int"))
     assert {r.node: r.component for r in c.collect()} == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
