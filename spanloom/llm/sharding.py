@@ -2,8 +2,9 @@
 
 Documents with equal texts are linked. Linked documents start in shards by a hash of their id. In
 each round a document may move to the shard that holds most of its copies (more than its own shard
-does), as long as that shard has room: arrivals beyond the quota wait, chosen by hash bucket. A shard
-that is full is no target, so a group larger than a shard fills one after the other. Rows without
+does), as long as that shard has room: arrivals beyond the quota wait, chosen by hash bucket and, in the
+bucket in which the quota is reached, by an exact rank. A shard that takes what it can is full to the
+row and then no target, so a group larger than a shard fills one after the other. Rows without
 links cut nothing wherever they lie and come last, to fill every shard to its exact quota; linked rows
 beyond a quota, if any, are dealt with them. The law is `rows`: counts are at most one apart.
 
@@ -61,18 +62,26 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
         wish: dict[int, dict[int, int]] = {s: {} for s in range(shards)}
         for r in moving.where("target is not null").groupBy("target", "bucket").agg(F.count("*").alias("n")).collect():
             wish[r["target"]][r["bucket"]] = r["n"]
-        limit, accepted = [], 0
-        for s in range(shards):  # buckets below the limit come in
+        limit, part, accepted, split = [], [], 0, 0
+        for s in range(shards):  # buckets below the limit come in, and of the one at the limit as many rows as have room left
             at, left = 0, room[s]
             while at < BUCKETS and wish[s].get(at, 0) <= left:
                 left -= wish[s].get(at, 0)
                 accepted += wish[s].get(at, 0)
                 at += 1
             limit.append(at)
+            part.append(left if at < BUCKETS else 0)
+            accepted += part[s]
+            split += wish[s].get(at, 0) if part[s] else 0
         if not accepted:
             break
-        accept = F.col("bucket") < F.get(F.array(*map(F.lit, limit)), F.col("target"))
-        state = moving.withColumn("shard", F.when(accept, F.col("target")).otherwise(F.col("shard"))).drop("target", "bucket")
+        of = lambda counts: F.get(F.array(*map(F.lit, counts)), F.col("target"))
+        at_limit = F.coalesce((F.col("bucket") == of(limit)) & (of(part) > 0), F.lit(False))
+        state = moving.where(~at_limit).withColumn("shard", F.when(F.col("bucket") < of(limit), F.col("target")).otherwise(F.col("shard")))
+        if split:
+            ranked = exact_rank(moving.where(at_limit), "target", ["row"], split, "rank", shards)
+            state = state.unionByName(ranked.withColumn("shard", F.when(F.col("rank") < of(part), F.col("target")).otherwise(F.col("shard"))).drop("rank"))
+        state = state.drop("target", "bucket")
 
     ranked = cut(exact_rank(state, "shard", ["text", "row"], total, "slot", shards))
     full = F.get(F.array(*map(F.lit, quota)), F.col("shard"))

@@ -109,6 +109,13 @@ def test_sharding_fills_with_a_giant_group(spark):
     assert len({r.shard for r in rows if r.size == 5 and r.text_crc32 == zlib.crc32(b"same")}) <= 7  # 320 rows take 6 shards at least
 
 
+def test_sharding_fills_with_a_group_of_large_buckets(spark):
+    df = spark.range(30_000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'same' else concat('t', id) end as text")
+    rows = sharding.shard_documents(df).collect()
+    assert set(Counter(r.shard for r in rows).values()) == {1875}
+    assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"same") and r.size == 5}) == 6  # 10,000 rows take 6 shards at least
+
+
 def test_mixing(docs, odd):
     mixed = mixing.mix(docs, flatten=0.5).collect()
     tokens = Counter()
