@@ -4,14 +4,17 @@ A gram is the shortest run of lines from some line on that has at least GRAM_WOR
 takes, in each window of starts that lie less than GRAM_WORDS words apart, the gram of the smallest
 hash (the later of equal ones) as a fingerprint. All grams of the window at the first line of a run
 of MIN_WORDS = 2 x GRAM_WORDS words or more lie in that run, so any two such runs of equal lines
-share a fingerprint. Each fingerprint is joined with its first occurrence in (id, line) order, the
-match is extended line by line both ways, and if the run has MIN_WORDS words its later occurrence is
-deleted. A deleted line always has an equal one earlier; first occurrences stay.
+share a fingerprint: a text of which no fingerprint occurs twice has no line to lose. In the others
+each line gives two spans, the shortest runs of MIN_WORDS words or more that start and that end with
+it. A line of a repeated run lies in a span within that run, so a line is deleted if, and only if, one
+of its spans has an equal one earlier in (id, line) order. Each span has a first occurrence of its
+own, so no pair of texts is compared, however frequent their lines are. A deleted line always has an
+equal one earlier; first occurrences stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import cut
@@ -34,6 +37,27 @@ def _grams(gram_words: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("h") - 1), gram)
 
 
+def _spans(gram_words: int, min_words: int) -> Column:
+    """(hash, at, n, gram) of the shortest runs of min_words words that start, and that end, with each line; gram: lines of its first gram_words words."""
+
+    def lines(w: Column, least: int = min_words) -> Column:
+        step = F.aggregate(
+            w,
+            F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")),
+            lambda acc, x: F.when(acc["words"] >= least, acc).otherwise(F.struct((acc["words"] + x).alias("words"), (acc["n"] + 1).alias("n"))),
+        )
+        return F.transform(F.array(step), lambda s: F.when(s["words"] >= least, s["n"]))[0]
+
+    def ending(i: Column) -> Column:
+        begin = F.greatest(i - (min_words - 1), F.lit(0))
+        return F.transform(F.array(lines(F.reverse(F.slice("w", begin + 1, i - begin + 1)))), lambda n: F.struct((i - n + 1).alias("at"), n.alias("n")))[0]
+
+    every = F.sequence(F.lit(0), F.size("h") - 1)
+    starting = F.transform(every, lambda i: F.struct(i.alias("at"), lines(F.slice("w", i + 1, min_words)).alias("n")))
+    spans = F.array_distinct(F.filter(F.concat(starting, F.transform(every, ending)), lambda s: s["n"].isNotNull()))
+    return F.transform(spans, lambda s: F.struct(F.xxhash64(F.slice("h", s["at"] + 1, s["n"])).alias("hash"), s["at"].alias("at"), s["n"].alias("n"), lines(F.slice("w", s["at"] + 1, gram_words), gram_words).alias("gram")))
+
+
 def find_repeats(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, ranges): ranges of line numbers, both ends included, of later repeated runs; rows without any don't come."""
     rows = docs.select(F.struct(docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("text")).alias("key"), docs[text_col].cast("string").alias("text")).where("key.id is not null and text is not null")
@@ -44,21 +68,20 @@ def find_repeats(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int =
     picked = F.transform("grams", lambda g: F.when(g.isNotNull(), F.array_min(F.slice("grams", 1 - g["at"], g["n"]))))
     lines = cut(lines.withColumn("picked", F.array_distinct(F.filter(picked, lambda g: g.isNotNull()))).select("key", "h", "w", "picked"))
     marks = lines.select("key", F.explode("picked").alias("g")).select("key", F.col("g.hash").alias("hash"), (-F.col("g.at")).alias("at"), F.col("g.n").alias("n"))
-    first = marks.groupBy("hash").agg(F.min(F.struct("key", "at", "n")).alias("first"), F.min(F.struct("key", "at")).alias("lo"), F.max(F.struct("key", "at")).alias("hi")).where("lo <> hi").select("hash", "first")
-    matches = marks.join(first, "hash").select("key", "at", F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("shift"), (F.col("first.at") + F.col("first.n")).alias("clear"))
-    matches = matches.where("key <> source or shift > 0")
-    # one row for a pair of texts and a shift, however many fingerprints they share there
-    matches = matches.groupBy("key", "source", "shift").agg(F.sort_array(F.collect_set("at")).alias("at"), F.min("clear").alias("clear"))
-    matches = matches.join(lines.dropDuplicates(["key"]).select(F.col("key").alias("source"), F.col("h").alias("other")), "source")
-    matches = matches.join(lines.dropDuplicates(["key"]).select("key", "h", "w"), "key")
-    differ = F.filter(F.sequence(F.lit(-1), F.size("h")), lambda p: ~F.coalesce((p >= 0) & (p >= F.col("shift")) & (F.get("h", F.greatest(p, F.lit(0))) == F.get("other", F.greatest(p - F.col("shift"), F.lit(0)))), F.lit(False)))
-    matches = matches.withColumn("differ", differ)
-    runs = F.transform("at", lambda s: F.struct((F.array_max(F.filter("differ", lambda p: p < s)) + 1).alias("lo"), (F.array_min(F.filter("differ", lambda p: p > s)) - 1).alias("hi")))
-    runs = F.filter(F.array_distinct(runs), lambda r: F.aggregate(F.slice("w", r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, x: a + x) >= min_words)
+    repeated = marks.groupBy("hash").agg(F.min(F.struct("key", "at")).alias("lo"), F.max(F.struct("key", "at")).alias("hi")).where("lo <> hi").select("hash")
+    touched = marks.join(repeated, "hash").select("key").distinct()
+    spans = cut(lines.dropDuplicates(["key"]).join(touched, "key").select("key", F.explode(_spans(gram_words, min_words)).alias("s")).select("key", "s.hash", "s.at", "s.n", "s.gram"))
+    first = spans.groupBy("hash").agg(F.min(F.struct("key", "at")).alias("lo"), F.max(F.struct("key", "at")).alias("hi")).where("lo <> hi").select("hash", F.col("lo").alias("first"))
+    later = spans.join(first, "hash").where(F.struct("key", "at") != F.col("first"))
     # within one text the first gram stays whole
-    own = F.transform(runs, lambda r: F.struct(F.when(F.col("key") == F.col("source"), F.greatest(r["lo"], F.col("clear"))).otherwise(r["lo"]).alias("lo"), r["hi"].alias("hi")))
-    found = matches.select("key", F.filter(own, lambda r: r["lo"] <= r["hi"]).alias("ranges")).where(F.size("ranges") > 0)
-    return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    lo = F.when(F.col("key") == F.col("first.key"), F.greatest(F.col("at"), F.col("first.at") + F.col("gram"))).otherwise(F.col("at"))
+    found = later.select("key", lo.alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi")).where("lo <= hi")
+    # a range for all spans that meet: a list per span would be long in a text that is a copy as a whole
+    before = Window.partitionBy("key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = found.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(before) + 1, F.lit(True)).cast("int"))
+    part = F.sum("new").over(Window.partitionBy("key").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0))
+    merged = fresh.withColumn("part", part).groupBy("key", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def dedup_lines(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,33 @@ def test_line_dedup(docs, odd):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def exact_lines(texts, most=50):
+    """Lines of runs of 50 words or more that came before, by comparing every run with every place before it."""
+    runs = defaultdict(set)
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        size = [max(1, len(x.split())) for x in lines]
+        for s in range(len(lines)):
+            for e in range(s + 1, len(lines) + 1):
+                if sum(size[s:e]) >= most and any(lines[s:e] == o[k : k + e - s] for j, t in texts.items() if j < i for o in [t.split("\n")] for k in range(len(o))):
+                    runs[i].update(range(s, e))
+    return runs
+
+
+def test_line_dedup_of_lines_that_occurred_alone(spark):
+    """A run whose fingerprints all occurred earlier in shorter matches; and random texts of few lines against all runs."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rng = np.random.default_rng(3)
+    pool = [" ".join(f"p{k}w{i}" for i in range(rng.integers(1, 35))) for k in range(7)]
+    few = {i: "\n".join([*(pool[k] for k in rng.permutation(7)[: rng.integers(1, 6)]), f"end {i}"]) for i in range(60)}
+    for texts in ({1: f"{a}\nx", 2: f"y\n{b}", 3: f"q\n{a}\n{b}\nr", 4: f"{a}\n{b}\nz"}, few):
+        got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+        want = exact_lines(texts)
+        assert want
+        for i, t in texts.items():
+            assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ()))
+
+
 def test_sharding(docs, odd):
     for df in (docs, odd, odd.limit(0)):
         rows, texts = sharding.shard_documents(df).collect(), [r.text for r in df.select("text").collect()]
