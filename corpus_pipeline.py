@@ -3,22 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.llm import line_dedup, mixing, order_minhash, quality, sentence_pieces
-from spanloom.llm.common import cut, small_batches, table
+from spanloom.llm.common import cut, table
+
+
+def held(docs: DataFrame) -> DataFrame:
+    """Only what the operators read, beside the whole row: no column of docs can clash with theirs."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+
+
+def rows_of(found: DataFrame) -> DataFrame:
+    return found.select("row.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that the quality classifier keeps; it learns from the labelled ones among them."""
-    small_batches(spark, 2000)
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, machine).where("predicted = 1").select(docs.columns)
+    return rows_of(quality.score_documents(held(docs), machine).where("predicted = 1"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without later repeated runs of lines; n_chars follows the text."""
-    cleaned = line_dedup.dedup_lines(docs)
-    return cleaned.selectExpr(*(f"CAST(length(text) AS BIGINT) AS {c}" if c == "n_chars" else c for c in docs.columns))
+    cleaned = line_dedup.dedup_lines(held(docs))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows_of(cleaned.select(row.alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs, each as often as the mixture takes it."""
-    return mixing.mix(docs).select(docs.columns)
+    return rows_of(mixing.mix(held(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
