@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OWN_CHECKPOINTS = "/tmp/checkpoints"
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of an Arrow batch, for operators whose rows hold whole texts.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,17 +18,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; an own one only where none is set (tests)."""
+    """The shared folder the cluster names; a folder of our own only where none is set and all tasks run in this process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        spark.sparkContext.setCheckpointDir(OWN_CHECKPOINTS)
-    return named or OWN_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
+    return named or LOCAL_CHECKPOINTS
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Spark removes shuffle files, and checkpoints where cleanCheckpoints is set, once the driver has
+    collected what refers to them, frames (which are in reference cycles) here and their plans in the
+    JVM; both collections are asked for, as an idle driver may not collect for a long time while many
+    rounds leave their files.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -53,6 +67,8 @@ def buckets_for(rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
     return max(least, math.ceil(rows / per_bucket))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Few rows in an Arrow batch, for operators whose rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def byte_batches(spark: SparkSession) -> None:
+    """Arrow batches bounded by bytes, whatever the query before has set; a session's own smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)

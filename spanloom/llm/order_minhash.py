@@ -3,20 +3,25 @@
 1. Equal texts are one class, named by their MD5; only class representatives are compared.
 2. A text's five-word shingles are labelled with their occurrence number, which makes them distinct.
    Each of SKETCHES hash orders picks the PICKS smallest ones and hashes them *in text order*: texts
-   agree on such a key if they share those shingles in the same order. For a shingle similarity of
-   0.8 a key agrees with probability 0.8^3, and no key of 12 with (1 - 0.8^3)^12 < 2e-4.
-3. First each text of a key is aligned with the key's leader only, the most central text (that of the
-   largest keys). Keys that still hold several components then are searched whole, in blocks of
-   BLOCK_SHINGLES: a block is compared with each block of its key that could hold a link, not with
-   those of its own component or of other lengths. One task holds two blocks, counts the shingles
-   their texts share, aligns what can reach the similarity and is not joined yet, and returns a
-   spanning forest of the links: no row is made for a pair and no text of a key is left out.
-4. Alignment: the longest common subsequence of the two shingle sequences without their labels (a copy
-   of a passage may match any other copy), inside the band that a similarity of 0.8 leaves, as a longest
-   increasing subsequence of all matched positions; with bit vectors where a text repeats itself so
-   much that these are many. similarity = common / (n + m - common). Labelled shingles in common count
-   what two texts share as multisets, which bounds the alignment.
-5. Components of the links are the groups; the smallest doc_id of a group stays.
+   agree on such a key if they share those shingles in the same order. With a share J of their shingles
+   in common a key agrees with probability J^3, and no key of 16 with (1 - J^3)^16: < 1e-5 for 0.8,
+   2 % for 0.6, 12 % for 0.5, 35 % for 0.4.
+3. Two texts are linked if they share a key and (a) their shingles align to SIMILARITY, or (b) at least
+   SHARED of their shingles are in common and the edit similarity of their *words* is SIMILARITY: one
+   changed word costs five shingles, so scattered edits end (a) long before the texts differ much.
+4. First each text of a key is aligned with the key's leader only, the most central text (that of the
+   largest keys). Keys that still hold several components then are searched whole, one key for each
+   set of texts, in blocks of BLOCK_SHINGLES: a block is compared with each block of its key that could
+   hold a link, not with those of its own component or of other lengths. One task holds two blocks,
+   counts the shingles their texts share, aligns what can be similar and is not joined yet, and returns
+   a spanning forest of the links: no row is made for a pair and no text of a key is left out.
+5. Alignment of shingles: the longest common subsequence of the two sequences without their labels (a
+   copy of a passage may match any other copy), inside the band that a similarity of 0.8 leaves, as a
+   longest increasing subsequence of all matched positions; with bit vectors where a text repeats itself
+   so much that these are many. similarity = common / (n + m - common). Of words: 1 - edits / longer
+   length, with bit vectors. Labelled shingles in common count what two texts share as multisets, which
+   bounds the alignment.
+6. Components of the links are the groups; the smallest doc_id of a group stays.
 """
 
 from __future__ import annotations
@@ -30,12 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut, small_batches
+from spanloom.llm.common import byte_batches, cut
 from spanloom.llm.components import connected_components
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-SKETCHES, PICKS = 12, 3
-#: Size of a block, in shingles with TEXT_WEIGHT more for each text; texts from which a component has blocks of its own.
+#: Share of the shingles that two texts must have in common (of those of either) for their words to be aligned.
+SHARED = 0.4
+SKETCHES, PICKS = 16, 3
+#: Hashes of one step of sketching a long text.
+STEP_HASHES = 2_000_000
+#: Size of a block, in words with TEXT_WEIGHT more for each text; texts from which a component has blocks of its own.
 BLOCK_SHINGLES, TEXT_WEIGHT, OWN_BLOCKS_FROM = 262_144, 64, 32
 #: Matched positions, for each shingle of two texts, up to which they are listed.
 FEW_MATCHES = 8
@@ -59,22 +68,29 @@ class WordHashes(dict):
         return h
 
 
-def plain_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) -> np.ndarray:
+def word_array(text: str, hashes: WordHashes) -> np.ndarray:
+    words = text.split()
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingles_of(words: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
     """Hashes of the k-word shingles in text order.
 
     A text of 1 to k - 1 words has one shingle, all its words; one without words has none.
     """
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(k, len(h))
-    shingle = np.zeros(len(h) - k + 1, np.uint64)
+    if not len(words):
+        return words
+    k = min(k, len(words))
+    shingle = np.zeros(len(words) - k + 1, np.uint64)
     for j in range(k):
-        shingle = mix(shingle + _STEP + h[j : j + len(shingle)])
+        shingle = mix(shingle + _STEP + words[j : j + len(shingle)])
     return shingle
 
 
+def plain_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) -> np.ndarray:
+    return shingles_of(word_array(text, hashes), k)
+
+
 def labelled(shingle: np.ndarray) -> np.ndarray:
     """Shingles in text order, each with its occurrence number hashed in."""
     if not len(shingle):
@@ -94,16 +110,22 @@ def labelled_shingles(text: str, hashes: WordHashes, k: int = SHINGLE_WORDS) ->
 
 def sketch_keys(shingles: np.ndarray, sketches: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
     """One key for each hash order: the picks smallest labelled shingles, hashed in text order."""
-    if not len(shingles):
+    n = len(shingles)
+    if not n:
         return np.zeros(0, np.int64)
-    keys = np.empty(sketches, np.uint64)
-    for s in range(sketches):
-        v = mix(shingles + np.uint64((s + 1) * int(_STEP) % 2**64))
-        chosen = np.sort(np.argpartition(v, picks)[:picks]) if len(v) > picks else np.arange(len(v))
-        h = np.full(1, s, np.uint64)
-        for x in shingles[chosen]:
-            h = mix(h * _STEP + x)
-        keys[s] = h[0]
+    keys = np.arange(sketches, dtype=np.uint64)
+    seeds = (keys + np.uint64(1)) * _STEP
+    rows = max(1, STEP_HASHES // n)
+    for lo in range(0, sketches, rows):
+        part = seeds[lo : lo + rows, None]
+        if n > picks:
+            chosen = shingles[np.sort(np.argpartition(mix(shingles + part), picks - 1, axis=1)[:, :picks], axis=1)]
+        else:
+            chosen = np.broadcast_to(shingles, (len(part), n))
+        h = keys[lo : lo + rows]
+        for j in range(chosen.shape[1]):
+            h = mix(h * _STEP + chosen[:, j])
+        keys[lo : lo + rows] = h
     return keys.view(np.int64)
 
 
@@ -164,11 +186,72 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return common / (n + m - common)
 
 
-def forest(nodes: list, shingles: list[np.ndarray], components: list, first: np.ndarray, second: np.ndarray, least: float = SIMILARITY) -> list[tuple]:
-    """Links between texts numbered in first and in second that join everything linked there.
+def trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a and b without their equal start and equal end."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    start = int(differ[0]) if len(differ) else n
+    a, b, n = a[start:], b[start:], n - start
+    differ = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    end = int(differ[0]) if len(differ) else n
+    return a[: len(a) - end], b[: len(b) - end]
+
+
+def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """1 - edits / length of the longer one (Myers, 1999: a bit for each place of a); below least, possibly 0."""
+    longest = max(len(a), len(b))
+    if not longest:
+        return 1.0
+    most = (1 - least) * longest + 1e-9
+    a, b = trimmed(a, b)
+    if abs(len(a) - len(b)) > most:
+        return 0.0
+    if not len(a) or not len(b):
+        return 1 - max(len(a), len(b)) / longest
+    (x, m), (y, n) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if max(len(a), len(b)) - int(np.minimum(m[i], n[j]).sum()) > most:  # words that the other one lacks, in any order
+        return 0.0
+    places: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        places[x] = places.get(x, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = every, 0, len(a)
+    for left, y in zip(range(len(b) - 1, -1, -1), b.tolist(), strict=True):
+        equal = places.get(y, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal | down
+        right_up, right_down = down | ~(diagonal | up) & every, diagonal & up
+        edits += bool(right_up & last) - bool(right_down & last)
+        if edits - left > most:
+            return 0.0
+        right_up, right_down = (right_up << 1 | 1) & every, (right_down << 1) & every
+        up, down = right_down | ~(diagonal | right_up) & every, right_up & diagonal
+    return 1 - edits / longest
+
+
+def similar(a: np.ndarray, b: np.ndarray, share: float, least: float = SIMILARITY, shared: float = SHARED) -> bool:
+    """Whether two texts, as arrays of word hashes, are linked; share: of their labelled shingles in common, of those of either."""
+    if share < min(shared, least) - 1e-9:
+        return False
+    if share >= least - 1e-9 and aligned_similarity(shingles_of(a), shingles_of(b), least) >= least:
+        return True
+    return share >= shared - 1e-9 and edit_similarity(a, b, least) >= least
+
+
+def shared_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the shingles in common, from sorted labelled shingles of each."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.searchsorted(b, a)
+    common = np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a)
+    return common / (len(a) + len(b) - common)
+
+
+def forest(nodes: list, texts: list[np.ndarray], components: list, first: np.ndarray, second: np.ndarray, least: float = SIMILARITY, shared: float = SHARED) -> list[tuple]:
+    """Links between texts (arrays of word hashes) numbered in first and in second that join everything linked there.
 
-    Texts of one component count as joined. A pair whose shared shingles can't reach the least
-    similarity is not aligned, nor is one that other links have joined already.
+    Texts of one component count as joined. A pair whose shared shingles are too few is not aligned,
+    nor is one that other links have joined already.
     """
     parent = {c: c for c in components}
 
@@ -177,11 +260,11 @@ def forest(nodes: list, shingles: list[np.ndarray], components: list, first: np.
             parent[c] = c = parent[parent[c]]
         return c
 
-    sizes = np.array([len(x) for x in shingles])
+    counted = [labelled(shingles_of(x)) for x in texts]  # in common as often as in both
+    sizes = np.array([len(x) for x in counted])
     second = second[sizes[second] > 0]
     if not len(second):
         return []
-    counted = [labelled(x) for x in shingles]  # in common as often as in both
     values = np.unique(np.concatenate(counted))
     held = np.concatenate([np.searchsorted(values, counted[j]) for j in second])
     starts = np.concatenate([[0], np.cumsum(sizes[second])[:-1]])
@@ -192,22 +275,28 @@ def forest(nodes: list, shingles: list[np.ndarray], components: list, first: np.
         has[at] = True
         common = np.add.reduceat(has[held], starts, dtype=np.int64)
         has[at] = False
-        for j in second[common >= least * (sizes[i] + sizes[second]) / (1 + least) - 1e-9].tolist():
-            x, y = root(components[i]), root(components[j])
-            if x != y and aligned_similarity(shingles[i], shingles[j], least) >= least:
-                parent[x] = y
+        share = common / (sizes[i] + sizes[second] - common)
+        likely = np.flatnonzero(share >= min(shared, least) - 1e-9)
+        for j, x in zip(second[likely].tolist(), share[likely].tolist(), strict=True):
+            p, q = root(components[i]), root(components[j])
+            if p != q and similar(texts[i], texts[j], x, least, shared):
+                parent[p] = q
                 links.append((nodes[i], nodes[j]))
     return links
 
 
-def block_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def block_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shared: float = SHARED) -> DataFrame:
     """Links (a, b) within the keys of entries (key, node, n, c) that hold several components c.
 
-    Keys of two texts are left out: the leader was aligned with the other one.
+    Keys of two texts are left out: the leader was aligned with the other one. Of keys that hold the
+    same texts (equal number, equal sums of two hashes) one is searched.
     """
     none = F.expr("X''")
-    several = entries.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.col("n") + TEXT_WEIGHT).alias("size"))
-    several = several.where("lo <> hi and m > 2").select("key", (F.col("size") > BLOCK_SHINGLES).alias("split"))
+    several = entries.groupBy("key").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum(F.col("n") + TEXT_WEIGHT).alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).where("lo <> hi and m > 2")
+    several = several.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.first("size").alias("size")).select("key", (F.col("size") > BLOCK_SHINGLES).alias("split"))
     # texts that are similar enough are of one length class or of neighbouring ones; 1.001 for rounding
     length = F.when(F.col("split"), F.floor(F.log("n") / F.log(F.lit(1.001 / similarity)))).otherwise(0)
     now = cut(entries.join(several, "key").select("key", "node", "n", "c", "split", length.cast("int").alias("length")))
@@ -227,57 +316,66 @@ def block_links(entries: DataFrame, texts: DataFrame, similarity: float = SIMILA
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "shingles": [plain_shingles(t, hashes).view(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "words": [word_array(t, hashes).view(np.int64) for t in batch["text"]]})
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        shingles = [np.asarray(x, np.int64).view(np.uint64) for x in group["shingles"]]
+        words = [np.asarray(x, np.int64).view(np.uint64) for x in group["words"]]
         first, second = np.flatnonzero(group["in_p"]), np.flatnonzero(group["in_q"])
-        found = forest(group["node"].tolist(), shingles, group["c"].tolist(), first, second, similarity)
+        found = forest(group["node"].tolist(), words, group["c"].tolist(), first, second, similarity, shared)
         return pd.DataFrame(found, columns=["a", "b"])
 
-    sets = texts.join(needed, "node").mapInPandas(arrays, "node binary, shingles array<bigint>")
+    sets = texts.join(needed, "node").mapInPandas(arrays, "node binary, words array<bigint>")
     held = members.join(sides, ["key", "block"]).join(sets, "node")
-    held = held.select("key", "p", "q", "node", "c", "shingles", (F.col("block") == F.col("p")).alias("in_p"), (F.col("block") == F.col("q")).alias("in_q"))
+    held = held.select("key", "p", "q", "node", "c", "words", (F.col("block") == F.col("p")).alias("in_p"), (F.col("block") == F.col("q")).alias("in_q"))
     return cut(held.groupBy("key", "p", "q").applyInPandas(link, "a binary, b binary"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: int = SKETCHES, picks: int = PICKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, class_id, component_id, kept) for each row.
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shared: float = SHARED, sketches: int = SKETCHES, picks: int = PICKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, class_id, component_id, kept, text_md5) for each row.
 
-    class_id: smallest id with the same text; component_id: smallest id reachable by links; kept: the
-    row of that id. Null texts and rows with a null id link with nothing and are kept. Texts without
+    class_id: smallest id with the same text; component_id: smallest id reachable by links; kept:
+    whether the row has that id and, if rows of that id have several texts of the group, the one of
+    the smallest MD5. Null texts and rows with a null id link with nothing and are kept. Texts without
     words are duplicates of equal texts only. Rows that repeat id and text stay repeated and share
     their fate. Other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("node", F.unhex(F.md5("text")))
     id_type = source.schema["id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            shingles = [labelled_shingles(t, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "node": batch["node"], "n": [len(s) for s in shingles], "keys": [sketch_keys(s, sketches, picks) for s in shingles]})
+            words = [word_array(t, hashes) for t in batch["text"]]
+            keys = [sketch_keys(labelled(shingles_of(w)), sketches, picks) for w in words]
+            yield pd.DataFrame({"id": batch["id"], "node": batch["node"], "n": [len(w) for w in words], "keys": keys})
 
     usable = source.where("id is not null and text is not null").select("id", "node", "text")
     sketched = usable.mapInPandas(sketch, f"id {id_type}, node binary, n bigint, keys array<bigint>")
     classes = cut(sketched.groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))  # equal texts, equal keys
-    entries = classes.select("node", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    met = entries.join(shared, "key")
-    entries = cut(met.join(met.groupBy("node").agg(F.sum("m").alias("central")), "node").drop("m"))
-    needed = entries.select("node").distinct().join(classes.select("node", "rep"), "node")
-    texts = cut(usable.join(needed.select("node", F.col("rep").alias("id")), ["id", "node"]).select("node", "text").dropDuplicates(["node"]))
+    entries = classes.select("node", "rep", "n", F.explode("keys").alias("key"))
+    met = entries.join(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "key")
+    # a text and the keys it shares, at most one for each sketch
+    meets = cut(met.groupBy("node").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.sum("m").alias("central"), F.collect_list("key").alias("keys")))
+    entries = meets.select("node", "n", "central", F.explode("keys").alias("key"))
+    needed = meets.select(F.col("rep").alias("id"), "node")
+    texts = cut(usable.join(needed, ["id", "node"]).dropDuplicates(["id", "node"]).select("node", "text"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        last: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+
+        def read(text: str) -> tuple[np.ndarray, np.ndarray]:
+            words = word_array(text, hashes)
+            return words, np.sort(labelled(shingles_of(words)))
+
+        last = ("", *read(""))
         for batch in batches:
             linked = []
             for left, right in zip(batch["left"], batch["right"], strict=True):
                 if left != last[0]:
-                    last = (left, plain_shingles(left, hashes))
-                linked.append(aligned_similarity(last[1], plain_shingles(right, hashes), similarity) >= similarity)
+                    last = (left, *read(left))
+                words, counted = read(right)
+                linked.append(similar(last[1], words, shared_of(last[2], counted), similarity, shared))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": linked})
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -295,19 +393,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketches: i
     p = entries.select("key", F.col("node").alias("p"), F.col("n").alias("pn"))
     links = verify(cut(ordered(p.join(lead, "key")))).where("linked").select("a", "b")
     joined = connected_components(links)
-    now = entries.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    more = block_links(now, texts, similarity)
+    named = joined.withColumnRenamed("component", "c")
+    now = meets.join(named, "node", "left").select("node", "n", F.coalesce("c", "node").alias("c"), F.explode("keys").alias("key"))
+    more = block_links(now, texts, similarity, shared)
     component = joined if more.isEmpty() else connected_components(links.union(more))
 
-    named = classes.select("node", F.col("rep").alias("class_id"))
-    of = named.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    named = of.join(of.groupBy("c").agg(F.min("class_id").alias("component_id")), "c").drop("c")
-    out = source.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node")).join(named, "node", "left")
+    of = classes.select("node", F.col("rep").alias("class_id")).join(component, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    stays = of.groupBy("c").agg(F.min(F.struct("class_id", "node")).alias("least"))
+    named = of.join(stays, "c").select("node", "class_id", F.col("least.class_id").alias("component_id"), (F.col("node") == F.col("least.node")).alias("first"))
+    out = source.select("id", F.when(F.col("id").isNotNull(), F.col("node")).alias("node"), F.lower(F.hex("node")).alias("text_md5")).join(named, "node", "left")
     component_id = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), component_id.alias("component_id"), F.coalesce(component_id == F.col("id"), F.lit(True)).alias("kept"))
+    # copies of the text that stays have other ids
+    kept = F.coalesce((component_id == F.col("id")) & F.col("first"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), component_id.alias("component_id"), kept.alias("kept"), "text_md5")
 
 
-def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose group keeps another id; only the dropped ids are shuffled with docs."""
-    dropped = groups.where(~F.col("kept")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that groups, made of them, doesn't keep; only the ids and hashes of dropped rows are shuffled with docs.
+
+    A row goes by its id and its text together, so other texts of a repeated id stay.
+    """
+    dropped = groups.where(~F.col("kept")).select(F.col(id_col).alias("_dropped"), F.col("text_md5").alias("_md5")).distinct()
+    return docs.join(dropped, (docs[id_col] == dropped["_dropped"]) & (F.md5(docs[text_col].cast("string")) == dropped["_md5"]), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import embedding_dedup, fingerprints, language_id, line_dedup, mixing, order_minhash, preferences, quality, sentence_pieces, sharding
-from spanloom.llm.common import held_out, small_batches, table
+from spanloom.llm.common import byte_batches, held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,19 +46,19 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    small_batches(spark, 2000)
+    byte_batches(spark)
     return language_id.identify(docs, language_id.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    small_batches(spark, 2000)
+    byte_batches(spark)
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_md5")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_line_dedup, op2_sentence_pieces, op3_sharding, op4_mixing, op5_preferences, op6_embedding_dedup, op7_fingerprints, op8_language_id, op9_quality, op10_near_dedup)}
