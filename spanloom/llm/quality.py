@@ -17,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanloom.llm.common import held_out, sample_order
+from spanloom.llm.common import byte_batches, held_out, sample_order
 
 WORD_BUCKETS = 1 << 13
 STATS = (
@@ -28,14 +29,17 @@ STATS = (
     "distinct_words", "top_word", "distinct_lines", "words_per_line", "stopped_lines", "comma", "high_bytes",
 )
 LEVELS = 8
-#: Words, one weight for each statistic, one for each level of each statistic.
-SIZE = WORD_BUCKETS + len(STATS) * (1 + LEVELS)
+#: Buckets of metadata values.
+META_BUCKETS = 1 << 10
+#: Words, one weight for each statistic, one for each level of each statistic, metadata.
+META_START = WORD_BUCKETS + len(STATS) * (1 + LEVELS)
+SIZE = META_START + META_BUCKETS
 RANK = 8
 THRESHOLD = 0.7
 SAMPLE_ROWS = 6000
 EPOCHS = 30
-#: Share of the Euclidean length that a document's words have; the rest is structure.
-WORD_WEIGHT = 0.5
+#: Share of the Euclidean length that a document's words have, and its metadata; the rest is structure.
+WORD_WEIGHT, META_WEIGHT = 0.5, 0.2
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in ".,;:'\"-()"]] = True
@@ -73,6 +77,25 @@ def words_of(text: str, bucket: dict[str, int]) -> tuple[Counter[str], int, np.n
     return counts, sum(counts.values()), ids, summed * (WORD_WEIGHT / max(np.linalg.norm(summed), 1e-9))
 
 
+def metadata(docs: DataFrame, columns: tuple[str, ...]) -> Column:
+    """An array with one value for each metadata column: numbers by their quarter octave, others as text; nulls apart."""
+
+    def value(c: str) -> Column:
+        kind = docs.schema[c].dataType
+        number = F.col(f"`{c}`").cast("double")
+        level = F.concat(F.when(number < 0, "-").otherwise(""), F.floor(4 * F.log2(F.abs(number) + 1)).cast("string"))
+        return F.concat(F.lit(f"{c}="), F.coalesce(level if isinstance(kind, T.NumericType) else F.col(f"`{c}`").cast("string"), F.lit("\0")))
+
+    return F.array(*map(value, columns)).cast("array<string>")
+
+
+def meta_features(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and values of a document's metadata, scaled to META_WEIGHT."""
+    found = Counter(META_START + xxhash.xxh64_intdigest(v) % META_BUCKETS for v in values)
+    ids, n = np.array(sorted(found), np.int64), np.array([found[i] for i in sorted(found)], float)
+    return ids, n * (META_WEIGHT / max(np.linalg.norm(n), 1e-9))
+
+
 @dataclass
 class FactorisationMachine:
     mean: np.ndarray  # of the statistics
@@ -81,11 +104,13 @@ class FactorisationMachine:
     w0: float
     w: np.ndarray
     v: np.ndarray
+    columns: tuple[str, ...] = ()  # of metadata
 
-    def features(self, stats: np.ndarray, word_ids: np.ndarray, word_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def features(self, stats: np.ndarray, word_ids: np.ndarray, word_values: np.ndarray, meta: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        meta_ids, meta_values = meta_features(meta)
         z = np.clip((stats - self.mean) / self.scale, -4, 4) / np.sqrt(len(STATS))
         level = WORD_BUCKETS + len(STATS) + np.arange(len(STATS)) * LEVELS + (stats[:, None] > self.cuts).sum(1)
-        return np.concatenate([word_ids, WORD_BUCKETS + np.arange(len(STATS)), level]), np.concatenate([word_values, z, np.full(len(STATS), 1 / np.sqrt(len(STATS)))])
+        return np.concatenate([word_ids, WORD_BUCKETS + np.arange(len(STATS)), level, meta_ids]), np.concatenate([word_values, z, np.full(len(STATS), 1 / np.sqrt(len(STATS))), meta_values])
 
     def logit(self, ids: np.ndarray, x: np.ndarray) -> float:
         v = self.v[ids] * x[:, None]
@@ -93,7 +118,7 @@ class FactorisationMachine:
         return float(self.w0 + self.w[ids] @ x + 0.5 * (s @ s - (v * v).sum()))
 
 
-def fit(stats: np.ndarray, word_rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> FactorisationMachine:
+def fit(stats: np.ndarray, word_rows: list[tuple[np.ndarray, np.ndarray, list[str]]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> FactorisationMachine:
     """Adam on the logistic loss with weight decay, one mini-batch of 64 rows at a time.
 
     With no labelled row the machine has no weights and scores everything 0.5; with one class only it
@@ -140,11 +165,14 @@ def fit(stats: np.ndarray, word_rows: list[tuple[np.ndarray, np.ndarray]], y: np
     return fm
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: tuple[str, ...] = ()) -> FactorisationMachine:
     """Fit on at most sample_rows labelled documents outside the held-out quarter.
 
-    Rows of labels with a null id or label are ignored; of several labels of an id the largest counts.
+    meta_cols: columns of docs that count as metadata, each value hashed into a bucket. Rows of labels
+    with a null id or label are ignored; of several labels of an id the largest counts. An id that docs
+    repeats counts once for each of its texts, and once for each text with other metadata.
     """
+    byte_batches(docs.sparkSession)
     chosen = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label")).orderBy(sample_order("id"), "id").limit(sample_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,29 +182,35 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 counts, n, ids, values = words_of(text or "", bucket)
                 out.append((statistics(text or "", counts, n), ids, values, label))
-            yield pd.DataFrame(out, columns=["stats", "ids", "vals", "label"])
-
-    found = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most sample_rows small rows
-    rows = found.mapInPandas(run, "stats array<double>, ids array<bigint>, vals array<double>, label int").collect()
-    rows.sort(key=lambda r: (r["label"], r["stats"]))  # the same machine whatever the order of the partitions
-    return fit(np.array([r["stats"] for r in rows]), [(np.array(r["ids"], np.int64), np.array(r["vals"])) for r in rows], np.array([r["label"] for r in rows], float))
+            yield pd.DataFrame(out, columns=["stats", "ids", "vals", "label"]).assign(meta=list(batch["meta"]), id=batch["id"], hash=batch["hash"])
+
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), metadata(docs, meta_cols).alias("meta")).withColumn("hash", F.xxhash64("text"))
+    found = found.join(F.broadcast(chosen), "id").mapInPandas(run, f"stats array<double>, ids array<bigint>, vals array<double>, label int, meta array<string>, id {found.schema['id'].dataType.simpleString()}, hash bigint")
+    found = found.dropDuplicates(["id", "hash", "meta"]).orderBy(sample_order("id"), "id", "hash", "meta").limit(sample_rows)  # ids may repeat
+    rows = found.collect()
+    rows.sort(key=lambda r: (r["label"], r["stats"], r["meta"]))  # the same machine whatever the order of the partitions
+    fm = fit(np.array([r["stats"] for r in rows]), [(np.array(r["ids"], np.int64), np.array(r["vals"]), r["meta"]) for r in rows], np.array([r["label"] for r in rows], float))
+    fm.columns = tuple(meta_cols)
+    return fm
 
 
 def score_documents(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1, higher: better) and predicted (1 if score >= threshold).
 
-    Null and empty texts have no words and zero statistics and get the score of that. Columns named
-    score or predicted are replaced; all others, and repeated rows, stay as they are.
+    Null and empty texts have no words and zero statistics and get the score of that and their
+    metadata. Columns named score or predicted are replaced; all others, and repeated rows, stay.
     """
+    byte_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         bucket: dict[str, int] = {}
-        for batch in texts:
-            out = np.empty(len(batch))
-            for i, text in enumerate(batch):
+        for texts, metas in parts:
+            out = np.empty(len(texts))
+            for i, (text, meta) in enumerate(zip(texts, metas, strict=True)):
                 counts, n, ids, values = words_of(text or "", bucket)
-                out[i] = machine.logit(*machine.features(statistics(text or "", counts, n), ids, values))
+                out[i] = machine.logit(*machine.features(statistics(text or "", counts, n), ids, values, list(meta)))
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
 
-    scored = docs.withColumn("score", score(F.col(f"`{text_col}`").cast("string")))
+    scored = docs.withColumn("score", score(F.col(f"`{text_col}`").cast("string"), metadata(docs, machine.columns)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
