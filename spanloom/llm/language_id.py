@@ -4,7 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary. Th
 word in a language is the sum over all its segmentations into pieces (a forward algorithm), and a
 text's is the product over its words. Piece counts come from the library's segmentation of the
 distinct words of a bounded sample of labelled documents; scoring looks at every word of every text.
-Words are lower-cased runs of letters with a leading marker, cut every ``WORD_CHARS`` letters.
+Words are lower-cased runs of letters with a leading marker; those of a length are scored together, and
+long ones by the same recursion with rescaled sums, so a word of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held_out, sample_order
+from spanloom.llm.common import byte_batches, held_out, sample_order
 
 MODEL = "piece_bpe_32k.model"
-WORD_CHARS = 24
-LETTERS = regex.compile(rf"\p{{L}}{{1,{WORD_CHARS}}}")
+LETTERS = regex.compile(r"\p{L}+")
+#: Letters up to which the sums of a word fit in a double (each at least FLOOR); kept entries of the word table.
+PLAIN_CHARS, KEPT_CHARS = 32, 64
 SAMPLE_ROWS = 6000
 #: Added to each piece's count, and the share of a character that is no piece.
 ALPHA, FLOOR = 0.1, 1e-8
@@ -103,6 +105,10 @@ class LanguageModel:
         unknown, nothing = len(self.prob) - 2, len(self.prob) - 1
         for n, rows in by_length.items():
             n += 1
+            if n > PLAIN_CHARS:
+                for r in rows:
+                    out[r] = self.long_word("▁" + words[r])
+                continue
             for at in range(0, len(rows), 2048):
                 part = rows[at : at + 2048]
                 code = np.ascontiguousarray(np.frombuffer("".join("▁" + words[r] for r in part).encode("utf-32-le"), np.uint32).reshape(len(part), n).T, np.uint64)
@@ -119,11 +125,33 @@ class LanguageModel:
         return out
 
 
+    def long_word(self, word: str) -> np.ndarray:
+        """The same sums with only those of the last letters kept, divided by their largest as they go."""
+        unknown, nothing = len(self.prob) - 2, len(self.prob) - 1
+        code = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        longest = min(self.pieces.longest, len(code))
+        h, ids = np.zeros_like(code), np.full((len(code), longest), nothing)  # of the pieces that end with a letter, shortest first
+        for length in range(1, longest + 1):
+            h = self.pieces.grow(h[: len(code) - length + 1], code[length - 1 :])
+            ids[length - 1 :, length - 1] = self.pieces.find(h, unknown if length == 1 else nothing)
+        last, log = np.zeros((longest, len(self.langs))), np.zeros(len(self.langs))  # newest first
+        last[0] = 1
+        for row in ids:
+            total = (last * self.prob[row]).sum(0)
+            last[1:] = last[:-1]
+            last[0] = total
+            top = last.max(0)
+            last /= top
+            log += np.log(top)
+        return log + np.log(last[0])
+
+
 def train(docs: DataFrame, model_path: str | None = None, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Piece probabilities from at most sample_rows labelled documents outside the held-out quarter, chosen by a hash of the id.
 
     Rows with a null text or lang are ignored. At most sample_rows languages can come out.
     """
+    byte_batches(docs.sparkSession)
     path = model_path or public_tokenizers.path(MODEL)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null").where(~held_out("id"))
     chosen = rows.select("id").distinct().orderBy(sample_order("id"), "id").limit(sample_rows)
@@ -164,15 +192,17 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: dict[str, int] = {}
         table = np.zeros((0, len(model.langs)))
+        long: list[str] = []  # words too long to be kept in memory
         for batch in batches:
             preds, scores = [], []
             for lo in range(0, len(batch), 512):
                 counts = [words_of(t) if t is not None else Counter() for t in batch["text"].iloc[lo : lo + 512]]
-                if len(at) > TABLE_LIMIT:  # memory only: a word's probability is always the same
+                if len(table) > TABLE_LIMIT:  # memory only: a word's probability is always the same
                     at, table = {}, table[:0]
                 if model.langs and (fresh := list(dict.fromkeys(w for c in counts for w in c if w not in at))):
                     at.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
                     table = np.concatenate([table, model.log_prob(fresh)])
+                    long.extend(w for w in fresh if len(w) > KEPT_CHARS)
                 for c in counts:
                     if not c or not model.langs:
                         preds.append(UNKNOWN)
@@ -182,8 +212,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     best = int(total.argmax())
                     preds.append(model.langs[best])
                     scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+                for w in long:
+                    del at[w]
+                long.clear()
             yield pd.DataFrame({"id": batch["id"], "lang_pred": preds, "score": scores})
 
+    byte_batches(docs.sparkSession)
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     out = source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

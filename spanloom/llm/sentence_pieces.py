@@ -20,6 +20,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import byte_batches
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 TABLE_LIMIT = 300_000
@@ -93,6 +95,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, id_col: str
     not looked at, whatever their names; an empty table gives an empty one.
     """
     path = model_path or public_tokenizers.path(MODEL)
+    byte_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = ChunkTable(path)
