@@ -4,8 +4,10 @@ Source s has the share p_s of all tokens; its weight is p_s^t / sum p^t. At t =
 natural shares, at t = 0 all sources weigh the same. The exponent t is bisected until the weights
 have the target entropy, then raised, if it must be, until no source is repeated more often than
 the limit. Each source's tokens are a fixed share of the budget: so many full passes over the source
-and a part of one more. Documents lie in hash blocks; a pass takes the blocks in a permuted order and
-the documents of a block in a permuted order, and the last pass stops as soon as its budget is spent.
+and a part of one more. Documents lie in hash blocks; each pass takes the blocks in a permuted order of
+its own and the documents of a block in a permuted order, and the last pass stops as soon as its budget
+is spent. A row's position is its place in that order: the documents of the blocks before, and those
+before it in its block. Documents are shuffled once, by block, which no source can make large.
 """
 
 from __future__ import annotations
@@ -83,13 +85,14 @@ def with_plan(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, flatten: float = FLATTEN, max_repeats: float = MAX_REPEATS, budget_tokens: int | None = None, block_docs: int = BLOCK_DOCS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, each row as often as the mixture takes it, with _epoch, _block, _tokens, _weight, _exponent
-    (which replace columns of these names; no other name matters).
+    """docs, each row as often as the mixture takes it, with _epoch, _position (from 0, without gaps, in each
+    source and epoch), _block, _tokens, _weight, _exponent (which replace columns of these names; no other
+    name matters).
 
     budget_tokens: of the mixture; as many as docs has, unless given. A source gets its share to
     within one document. A null source is a source of its own; null and blank texts have no tokens
     and come along with each full pass, and with the last one as their place has it. Rows that repeat
-    id and text have the same place in every pass and are taken or left together. Ties go by the id.
+    id and text lie side by side in every pass and are taken or left together; ties go by a hash of both.
     """
     key = F.xxhash64(docs[id_col], docs[text_col], F.lit("mix"))
     whole = F.struct(*(docs[c] for c in docs.columns)).alias("_row")  # so that no column's name can clash
@@ -101,7 +104,8 @@ def mix(docs: DataFrame, flatten: float = FLATTEN, max_repeats: float = MAX_REPE
     block = F.pmod("key", "blocks")
     # the last pass: whole blocks in permuted order, then the documents of the block where its budget ends
     placed = with_plan(light, plan.select("source", "blocks", "passes", "rest"), sources).withColumn("block", block)
-    sums = placed.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"), F.first("passes").alias("passes")).withColumn("order", block_order("source", "block", "passes"))
+    sums = placed.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"), F.first("rest").alias("rest"), F.first("passes").alias("passes")).withColumn("order", block_order("source", "block", "passes"))
+    sums = cut(sums)
     # one row for block_docs documents of the source
     before = Window.partitionBy("source").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -113,13 +117,22 @@ def mix(docs: DataFrame, flatten: float = FLATTEN, max_repeats: float = MAX_REPE
     edge = edge.withColumn("so_far", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("so_far < rest")
     stop = edge.groupBy("source").agg(F.max("place").alias("last_place"))
     full = cut(plan.join(last.drop("before"), "source", "left").join(stop, "source", "left").select(F.col("source").alias("_source"), F.struct("blocks", "passes", "weight", "last_order", "last_block", "last_place").alias("_plan")))
+    # documents of a pass that come before a block, for each pass
+    passes = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0), "passes"))).withColumn("order", block_order("source", "block", "epoch"))
+    ahead = Window.partitionBy("source", "epoch").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
+    passes = passes.withColumn("ahead", F.coalesce(F.sum("docs").over(ahead), F.lit(0)))
+    passes = passes.groupBy("source", "block").agg(F.map_from_entries(F.collect_list(F.struct("epoch", "ahead"))).alias("_ahead"))
+    passes = passes.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "_ahead")
     joined = rows.join(F.broadcast(full) if sources <= BROADCAST_SOURCES else full, "_source")
-    joined = joined.withColumn("_block", F.pmod("_key", "_plan.blocks"))
+    joined = joined.withColumn("_block", F.pmod("_key", "_plan.blocks")).join(passes, ["_source", "_block"])
     order = block_order("_source", "_block", "_plan.passes")
     in_rest = (order < F.col("_plan.last_order")) | ((F.col("_block") == F.col("_plan.last_block")) & (F.xxhash64("_key", "_plan.passes") <= F.col("_plan.last_place")))
     copies = F.col("_plan.passes") + F.coalesce(in_rest, F.lit(False)).cast("int")
     out = joined.withColumn("_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    added = {"_epoch": F.col("_epoch"), "_block": F.col("_block"), "_tokens": F.col("_tokens"), "_weight": F.col("_plan.weight"), "_exponent": F.lit(exponent)}
+    inside = Window.partitionBy("_source", "_block", "_epoch").orderBy(F.xxhash64("_key", "_epoch"), "_key")
+    position = (F.element_at("_ahead", F.col("_epoch")) + F.row_number().over(inside) - 1).cast("long")
+    out = out.withColumn("_position", position)
+    added = {"_epoch": F.col("_epoch"), "_position": F.col("_position"), "_block": F.col("_block"), "_tokens": F.col("_tokens"), "_weight": F.col("_plan.weight"), "_exponent": F.lit(exponent)}
     return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in added), *(x.alias(c) for c, x in added.items()))
 
 
