@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import cut, shuffle_width
 from spanloom.llm.components import connected_components
 
-MIN_COSINE, MISS, BLOCK = 0.9, 2e-4, 512
+MIN_COSINE, MISS, BLOCK = 0.9, 2e-4, 2048
 #: Vectors of a bucket on average, if they lay evenly; rows that one cell compares.
 BUCKET_ROWS, CELL_ROWS = 256, 20_000
 LEAST_PLANES = 8

@@ -67,13 +67,17 @@ def mask_text(ranges: Column) -> Column:
     return F.array_join(F.transform(ranges, lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
 
 
-def last_turn_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """A pair for each conversation: itself, and itself with the last turn of its partner (2i and 2i + 1 are partners).
+def spliced_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """A pair for each conversation: itself, and its own first turns followed by its partner's later ones.
 
-    Without a partner, or for a null id, the rejected side is null.
+    2i and 2i + 1 are partners. Of n turns, i mod (n + 1) are kept, so the two may part anywhere, one
+    may be the start of the other, and both may be equal. Without a partner, or for a null id, the
+    rejected side is null.
     """
     own = conversations(turns, id_col)
-    last = own.select((F.col(id_col).bitwiseXOR(F.lit(1))).alias("_partner"), F.element_at("turns", -1).alias("_last"))
-    joined = own.join(last, own[id_col] == last["_partner"], "left")
-    rejected = F.when(F.col("_last").isNotNull(), F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array("_last")))
+    other = own.select((F.col(id_col).bitwiseXOR(F.lit(1))).alias("_partner"), F.col("turns").alias("_other"))
+    joined = own.join(other, own[id_col] == other["_partner"], "left")
+    kept = F.pmod(F.floor(F.col(id_col) / 2), F.size("turns") + 1).cast("int")
+    rest = F.slice("_other", kept + 1, F.greatest(F.size("_other") - kept, F.lit(0)))
+    rejected = F.when(F.col("_other").isNotNull(), F.concat(F.slice("turns", F.lit(1), kept), rest))
     return joined.select(id_col, F.col("turns").alias("chosen"), rejected.alias("rejected"))

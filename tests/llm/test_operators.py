@@ -143,8 +143,16 @@ def test_sharding_fills_with_a_group_of_large_buckets(spark):
     assert len({r.shard for r in rows if r.text_crc32 == zlib.crc32(b"same") and r.size == 5}) == 6  # 10,000 rows take 6 shards at least
 
 
+def mixed_order(docs, mixed):
+    """For each document: hashes of its block and of itself in each pass."""
+    block = {r.doc_id: r._block for r in mixed}
+    known = docs.join(docs.sparkSession.createDataFrame(list(block.items()), "doc_id bigint, block bigint"), "doc_id")
+    key = F.xxhash64("doc_id", "text", F.lit("mix"))
+    return known.select("doc_id", "source", F.array(*(F.xxhash64("source", "block", F.lit(e), F.lit("block")) for e in range(5))).alias("block"), F.array(*(F.xxhash64(key, F.lit(e)) for e in range(5))).alias("place")).collect()
+
+
 def test_mixing(docs, odd):
-    mixed = mixing.mix(docs, flatten=0.5).collect()
+    mixed = mixing.mix(docs, flatten=0.5, block_docs=6).collect()
     tokens = Counter()
     for r in docs.collect():
         tokens[r.source] += len(r.text.split())
@@ -167,6 +175,18 @@ def test_mixing(docs, odd):
     for s, p in share.items():
         assert -1 <= taken[s] - p**hi / z * total <= longest + 1
     assert all(sorted(e) == list(range(len(e))) for e in copies.values())
+    # the order of each pass, and what the last one takes, against the plain order of its hashes
+    hashed = mixed_order(docs, mixed)
+    by = defaultdict(list)
+    for r in mixed:
+        by[r.source, r._epoch].append(r)
+    for (s, e), rows in by.items():
+        want = sorted((x for x in hashed if x.source == s), key=lambda x: (x.block[e], x.place[e]))
+        rows.sort(key=lambda r: r._position)
+        assert [r._position for r in rows] == list(range(len(rows))) and [r.doc_id for r in rows] == [x.doc_id for x in want[: len(rows)]]
+        if (s, e + 1) in by:
+            assert len(rows) == len(want)
+    assert any([r.doc_id for r in by[s, 0]][:9] != [r.doc_id for r in by[s, 1]][:9] for s, e in by if e == 1)
     capped = mixing.mix(docs, flatten=1.0, max_repeats=1.2).select("_exponent", "_epoch", "_weight", "source").collect()
     assert max(r._weight / share[r.source] for r in capped) <= 1.2 + 1e-6
     got = mixing.mix(odd)
@@ -181,9 +201,36 @@ def test_preferences(spark):
     r = preferences.format_preferences(a.crossJoin(b)).first()
     assert r.prompt_turns == 1 and r.prompt == "<|user|>\nq<|end|>\n" and r.chosen == "<|assistant|>\ngood<|end|>\n"
     assert [r.chosen[x.start : x.end] for x in r.chosen_mask] == ["good<|end|>\n"] and [r.rejected[x.start : x.end] for x in r.rejected_mask] == ["bad<|end|>\n"]
-    out = {x.conv_id: x for x in preferences.format_preferences(preferences.last_turn_pairs(df)).collect()}
-    assert set(out) == {0, 1, 2, None} and out[2].rejected is None and out[0].prompt == "<|user|>\nq<|end|>\n"
-    assert preferences.format_preferences(preferences.last_turn_pairs(df.limit(0))).count() == 0
+    out = {x.conv_id: x for x in preferences.format_preferences(preferences.spliced_pairs(df)).collect()}
+    assert set(out) == {0, 1, 2, None} and out[2].rejected is None and out[0].prompt == "<|user|>\nq<|end|>\n" and out[0].rejected.startswith("<|assistant|>\nbad")
+    assert preferences.format_preferences(preferences.spliced_pairs(df.limit(0))).count() == 0
+
+
+def test_preference_prefixes(spark):
+    """Against a plain search, with ties of turns, repeated rows, one very long text, and columns that clash."""
+    rng = np.random.default_rng(41)
+    rows = [(c, int(rng.integers(0, 6)), ("user", "assistant", "system")[rng.integers(3)], f"t{rng.integers(3)}" * (20_000 if c == 7 else 1), "own", "own") for c in range(60) for _ in range(rng.integers(1, 7))]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, prompt string, chosen string")
+    of = defaultdict(list)
+    for c, turn, role, text, *_ in rows:
+        of[c].append((turn, role, text))
+    of = {c: [x[1:] for x in sorted(t)] for c, t in of.items()}
+    got = {r.conv_id: r for r in preferences.format_preferences(preferences.spliced_pairs(df)).collect()}
+    seen = set()
+    for c, t in of.items():
+        kept = c // 2 % (len(t) + 1)
+        other = t[:kept] + of[c ^ 1][kept:]
+        n = 0
+        while n < min(len(t), len(other)) and t[n] == other[n]:
+            n += 1
+        whole = lambda x: "".join(f"<|{r}|>\n{s}<|end|>\n" for r, s in x)
+        r = got[c]
+        assert (r.prompt_turns, r.prompt, r.chosen, r.rejected) == (n, whole(t[:n]), whole(t[n:]), whole(other[n:]))
+        for side, turns, ranges in ((r.chosen, t[n:], r.chosen_mask), (r.rejected, other[n:], r.rejected_mask)):
+            assert [side[x.start : x.end] for x in ranges] == [f"{s}<|end|>\n" for a, s in turns if a == "assistant"]
+        seen.add((n > kept, n == len(t), n == len(other)))
+    assert len(seen) > 3
 
 
 def test_embeddings(spark):
@@ -229,7 +276,7 @@ def test_sketch_merge(spark):
     assert abs(r.r - 1 / 3) < 0.15 and abs(r.c - 0.5) < 0.2 and abs(r.n / 900 - 1) < 0.3
 
 
-def test_language_id(docs, odd):
+def test_language_id(spark, docs, odd):
     model = language_id.train(docs)
     got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
     held = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
@@ -247,6 +294,14 @@ def test_language_id(docs, odd):
 
     for w in ("the", "éaux", "ß☃x"):
         assert np.allclose(model.log_prob([w, "a"])[0], np.log(every("▁" + w)))
+        assert np.allclose(model.long_word("▁" + w), np.log(every("▁" + w)))
+    # a word is scored whole at any length, and its repetition has about twice the logarithm
+    word = "thetheüßañ" * 3
+    assert np.allclose(model.log_prob([word])[0], model.long_word("▁" + word))
+    once, twice = (model.log_prob([word * n])[0] for n in (500, 1000))
+    assert np.isfinite(twice).all() and np.allclose(twice / once, 2, atol=0.01)
+    long = spark.createDataFrame([(1, "estaciones" * 3000), (2, "x" * 40), (2, "x" * 40)], "doc_id bigint, text string")
+    assert [r.score > 0 for r in language_id.identify(long, model).collect()] == [True] * 3
 
 
 def test_quality(spark, docs, odd):
@@ -262,6 +317,14 @@ def test_quality(spark, docs, odd):
     pairs = sum(machine.v[ids[a]] @ machine.v[ids[b]] * x[a] * x[b] for a in range(3) for b in range(a))
     assert np.isclose(machine.logit(ids, x), machine.w0 + machine.w[ids] @ x + pairs)
     assert quality.train(docs, labels.limit(0)).w0 == 0
+    # metadata: texts that differ in nothing else; null, contradicting and repeated labels
+    rows = [(i, "some words here", None if i == 0 else ("good", "bad")[i % 2], i) for i in range(200)]
+    alike = spark.createDataFrame(rows, "doc_id bigint, text string, kind string, score bigint")
+    marks = spark.createDataFrame([(i, None if i == 4 else 1 - i % 2) for i in range(200)] + [(None, 1), (5, 0), (5, 0), (999, 1)], "doc_id bigint, quality int")
+    learned = quality.train(alike.union(alike), marks, meta_cols=("kind", "score"))
+    found = {r.doc_id: r.predicted for r in quality.score_documents(alike.withColumn("predicted", F.lit("x")), learned).collect()}
+    assert all(found[i] == 1 - i % 2 for i in range(1, 200))
+    assert quality.score_documents(alike.limit(0), learned).count() == 0
 
 
 def plain_edits(a, b):
