@@ -113,6 +113,27 @@ def test_line_dedup_of_lines_that_occurred_alone(spark):
             assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ()))
 
 
+def test_line_dedup_of_long_texts(spark, monkeypatch):
+    """Texts of several parts against all runs; a text that is one line over and over keeps its first words."""
+    monkeypatch.setattr(line_dedup, "PART_LINES", 7)
+    rng = np.random.default_rng(23)
+    pool = [" ".join(f"p{k}w{i}" for i in range(rng.integers(1, 20))) for k in range(60)]
+    texts = {}
+    for i in range(6):
+        lines = [f"own {i} {k}" for k in range(30)]
+        for _ in range(2):
+            at, of = rng.integers(0, 30), rng.integers(0, 40)
+            lines[at:at] = pool[of : of + rng.integers(3, 20)]
+        texts[i] = "\n".join(lines)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    want = exact_lines(texts)
+    assert want and all(got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ())) for i, t in texts.items() if len(set(t.split("\n"))) == t.count("\n") + 1)
+    monkeypatch.undo()
+    same = spark.createDataFrame([(1, "\n".join(["one two three four five"] * 20_000))], "doc_id bigint, text string")
+    r = line_dedup.dedup_lines(same).first()
+    assert (r.n_lines, r.n_removed) == (20_000, 19_995)
+
+
 def test_sharding(docs, odd):
     for df in (docs, odd, odd.limit(0)):
         rows, texts = sharding.shard_documents(df).collect(), [r.text for r in df.select("text").collect()]
