@@ -181,15 +181,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
             out = []
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 counts, n, ids, values = words_of(text or "", bucket)
-                out.append((statistics(text or "", counts, n), ids, values, label))
+                out.append((statistics(text or "", counts, n), ids.astype(np.int32).tobytes(), values.tobytes(), label))
             yield pd.DataFrame(out, columns=["stats", "ids", "vals", "label"]).assign(meta=list(batch["meta"]), id=batch["id"], hash=batch["hash"])
 
     found = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), metadata(docs, meta_cols).alias("meta")).withColumn("hash", F.xxhash64("text"))
-    found = found.join(F.broadcast(chosen), "id").mapInPandas(run, f"stats array<double>, ids array<bigint>, vals array<double>, label int, meta array<string>, id {found.schema['id'].dataType.simpleString()}, hash bigint")
+    found = found.join(F.broadcast(chosen), "id").mapInPandas(run, f"stats array<double>, ids binary, vals binary, label int, meta array<string>, id {found.schema['id'].dataType.simpleString()}, hash bigint")
     found = found.dropDuplicates(["id", "hash", "meta"]).orderBy(sample_order("id"), "id", "hash", "meta").limit(sample_rows)  # ids may repeat
     rows = found.collect()
     rows.sort(key=lambda r: (r["label"], r["stats"], r["meta"]))  # the same machine whatever the order of the partitions
-    fm = fit(np.array([r["stats"] for r in rows]), [(np.array(r["ids"], np.int64), np.array(r["vals"]), r["meta"]) for r in rows], np.array([r["label"] for r in rows], float))
+    fm = fit(np.array([r["stats"] for r in rows]), [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"]), r["meta"]) for r in rows], np.array([r["label"] for r in rows], float))
     fm.columns = tuple(meta_cols)
     return fm
 
