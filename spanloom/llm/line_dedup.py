@@ -91,7 +91,7 @@ def find_repeats(docs: DataFrame, gram_words: int = GRAM_WORDS, min_words: int =
     marks = lines.select("key", "base", F.explode("picked").alias("m")).select("key", F.col("m.hash").alias("hash"), (F.col("base") - F.col("m.at")).alias("at"))
     repeated = marks.groupBy("hash").agg(F.min(F.struct("key", "at")).alias("lo"), F.max(F.struct("key", "at")).alias("hi")).where("lo <> hi").select("hash")
     touched = marks.join(repeated, "hash").select("key").distinct()
-    spans = cut(lines.dropDuplicates(["key", "part"]).join(touched, "key").select("key", F.explode(_spans(gram_words, min_words)).alias("s")).select("key", "s.hash", "s.at", "s.n", "s.gram"))
+    spans = cut(lines.join(touched, "key", "left_semi").dropDuplicates(["key", "part"]).select("key", F.explode(_spans(gram_words, min_words)).alias("s")).select("key", "s.hash", "s.at", "s.n", "s.gram"))
     first = spans.groupBy("hash").agg(F.min(F.struct("key", "at")).alias("lo"), F.max(F.struct("key", "at")).alias("hi")).where("lo <> hi").select("hash", F.col("lo").alias("first"))
     later = spans.join(first, "hash").where(F.struct("key", "at") != F.col("first"))
     # within one text the first gram stays whole
