@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: Bytes of an Arrow batch, for operators whose rows hold whole texts.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 TABLE_LIMIT = 300_000
 #: Characters of text handled at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 500_000
 MARKED_WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
