@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from spanloom.plans import flagship
 from spanloom.plans.base import values
 from spanloom.schemas import BadInput
 from spanloom.session import session
-from spanloom.sources import tables
+from spanloom.sources import storage, tables
 
 
 def probability(x: str) -> float:
@@ -59,14 +58,16 @@ def run(args: argparse.Namespace) -> None:
         entities.write.mode("overwrite").parquet(f"{args.out}/entities")
         relations.write.mode("overwrite").parquet(f"{args.out}/relations")
     elif args.verb == "load":
-        if not Path(args.run, "entities").exists():
+        if not storage.exists(spark, f"{args.run}/entities"):
             raise BadInput(f"{args.run} has no entities")
         e = spark.read.parquet(f"{args.run}/entities").select("entity_id", "type", "canonical_name", "aliases", F.lit(1.0).alias("confidence"))
         r = spark.read.parquet(f"{args.run}/relations").select("source_id", "type", "target_id", F.lit(args.run).alias("doc_id"), "count", "confidence")
+        docs = spark.createDataFrame([(args.run,)], "doc_id string")
+        mentioned = e.select("entity_id", F.lit(args.run).alias("doc_id"), F.lit(1).cast("long").alias("count"), F.array().cast("array<string>").alias("pages"))
         store = graph.ParquetGraph(spark, args.store)
-        store.load(e, r, r.select("doc_id").distinct())
+        store.load(e, r, docs, mentioned)
         if args.script:
-            graph.export_script(e, args.script)
+            graph.export_script(args.script, e, mentioned=mentioned, relations=r)
         print(store.counts())
     elif args.verb == "report":
         calls = report.with_price(tables.read_calls(spark, args.calls), tables.load_prices(spark, args.prices))

@@ -34,8 +34,8 @@ def unwrap(text: Column) -> Column:
 
 def normalize_name(x: Column) -> Column:
     """Lower case, possessives dropped, anything but letters, digits, & and spaces to a space, spaces
-    collapsed, a leading article dropped. Spark has no compatibility normalization: names are taken
-    to be in NFKC already; functions.names.nfkc() is the Arrow function that makes them so."""
+    collapsed, a leading article dropped. Spark has no compatibility normalization: a name node's
+    texts go through functions.names.nfkc(), an Arrow function, before this."""
     x = F.regexp_replace(F.lower(x), r"['’]s(?![\p{L}\p{N}])", "")
     x = F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\p{L}\p{N}& ]+", " "), " +", " "))
     return F.regexp_replace(x, "^the ", "")

@@ -25,7 +25,7 @@ class LexiconAnswerer:
         self.lexicon, self.fallback = lexicon, fallback
 
     def answer(self, questions: DataFrame) -> DataFrame:
-        known = questions.join(F.broadcast(self.lexicon.select(F.col("key").alias("text"), F.col("value").alias("_value"))), "text", "left")
+        known = questions.join(self.lexicon.select(F.col("key").alias("text"), F.col("value").alias("_value")), "text", "left")
         choice = F.when(F.array_contains("options", F.col("_value")), F.col("_value")).otherwise(F.lit(self.fallback))
         return known.withColumn("choice", choice).withColumn("confidence", F.lit(CHOSEN_P)).drop("_value")
 

@@ -126,6 +126,33 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when((F.length(quote) > 0) & (last >= 0), F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(quote)) == quote)).otherwise(F.array().cast("array<int>"))
 
 
+def quoted(docs: DataFrame, quotes: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, quote_id, text, quote): the quotes (quote_id, quote) that a document (doc_id, text) holds verbatim.
+
+    A quote's inner words, all but its first and last, are whole words of any text that holds it. Its
+    key is the smallest hash of its runs of `words` inner words (of its inner words, if fewer; of its
+    first character, if none). Documents meet quotes on such keys, not all quotes, and only then are
+    texts searched. Blank quotes are nowhere.
+    """
+    inner = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    runs = lambda w, n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+    q = quotes.where("trim(quote) <> ''").withColumn("w", F.split("quote", r"\s+")).withColumn("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
+    size = F.least(F.size("w"), F.lit(words))
+    q = q.withColumn("n", size).withColumn("key", F.when(F.col("n") == 0, F.xxhash64(F.substring("quote", 1, 1))).otherwise(F.array_min(runs(F.col("w"), F.greatest(F.col("n"), F.lit(1))))))
+    lengths = sorted(r["n"] for r in q.select("n").distinct().collect())  # words + 1 numbers at most
+    found = []
+    for n in lengths:
+        keys = F.transform(F.split("text", ""), lambda c: F.xxhash64(c)) if n == 0 else F.when(F.size("w") >= n, runs(F.col("w"), F.lit(n)))
+        found.append(docs.where("text is not null").withColumn("w", inner(F.col("text"))).select("doc_id", F.lit(n).alias("n"), F.explode(F.array_distinct(keys)).alias("key")))
+    if not found:
+        return docs.join(quotes, F.lit(False)).select("doc_id", "quote_id", "text", "quote")
+    marks = found[0]
+    for more in found[1:]:
+        marks = marks.unionByName(more)
+    met = marks.join(q.select("n", "key", "quote_id"), ["n", "key"]).select("doc_id", "quote_id").distinct()
+    return met.join(quotes, "quote_id").join(docs.select("doc_id", "text"), "doc_id").where("contains(text, quote)").select("doc_id", "quote_id", "text", "quote")
+
+
 def verified_misses(quotes: DataFrame, mentions: DataFrame) -> DataFrame:
     """quotes (doc_id, quote_id, text, quote) of which one occurrence, at least, overlaps no mention (doc_id, start, end)."""
     at = quotes.where("trim(quote) <> '' and contains(text, quote)").select("doc_id", "quote_id", F.length("quote").alias("n"), F.explode(occurrences(F.col("text"), F.col("quote"))).alias("q_start"))

@@ -6,11 +6,14 @@ import json
 import math
 import re
 import uuid
-from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.schemas import relationship_type
+from spanloom.sources import storage
+
 # Uniqueness constraints of the script export.
 CONSTRAINTS = (
     "CREATE CONSTRAINT entity_id IF NOT EXISTS FOR (n:Entity) REQUIRE n.id IS UNIQUE",
@@ -98,37 +101,101 @@ def inline_params(statement: str, params: dict) -> str:
     return re.sub(r"\$([A-Za-z_][A-Za-z0-9_]*)", value, statement)
 
 
-def export_script(entities: DataFrame, path: str) -> None:
+def document_statements(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, sha256, path, title, page_count."""
+    fields = [F.concat(F.lit(f", d.{name} = "), literal(F.col(c).cast("string"))) for name, c in (("sha256", "sha256"), ("path", "path"), ("title", "title"))]
+    return docs.select(F.concat(F.lit("MERGE (d:SourceDocument {id: "), literal(F.col("doc_id").cast("string")), F.lit("}) SET d.pageCount = "), F.coalesce(F.col("page_count").cast("string"), F.lit("null")), *fields, F.lit(";")).alias("statement"))
+
+
+def mentioned_statements(mentioned: DataFrame) -> DataFrame:
+    """mentioned: entity_id, doc_id, count, pages."""
+    pages = F.concat(F.lit("["), F.array_join(F.transform("pages", lambda p: p.cast("string")), ", "), F.lit("]"))
+    return mentioned.select(F.concat(F.lit("MATCH (n:Entity {id: "), literal(F.col("entity_id")), F.lit("}), (d:SourceDocument {id: "), literal(F.col("doc_id").cast("string")), F.lit("}) MERGE (n)-[m:MENTIONED_IN]->(d) SET m.count = "), F.col("count").cast("string"), F.lit(", m.pages = "), pages, F.lit(";")).alias("statement"))
+
+
+def relation_statements(relations: DataFrame) -> DataFrame:
+    """relations: source_id, type, target_id, doc_id, count, confidence; types become edge names, which only safe labels can."""
+    doc = literal(F.col("doc_id").cast("string"))
+    return relations.select(F.concat(F.lit("MATCH (a:Entity {id: "), literal(F.col("source_id")), F.lit("}), (b:Entity {id: "), literal(F.col("target_id")), F.lit("}) MERGE (a)-[x:"), relationship_type(F.col("type")), F.lit(" {docId: "), doc, F.lit("}]->(b) SET x.confidence = "), F.coalesce(F.col("confidence").cast("string"), F.lit("null")), F.lit(", x.count = "), F.col("count").cast("string"), F.lit(";")).alias("statement"))
+
+
+def mention_statements(mentions: DataFrame) -> DataFrame:
+    """mentions: mention_id, entity_id, doc_id, text, start, end, confidence; a mention's id is its document's and its own."""
+    doc = literal(F.col("doc_id").cast("string"))
+    own = literal(F.concat_ws(":", F.col("doc_id").cast("string"), "mention_id"))
+    fields = F.concat(F.lit(" SET n.docId = "), doc, F.lit(", n.text = "), literal(F.col("text")), F.lit(", n.start = "), F.col("start").cast("string"), F.lit(", n.end = "), F.col("end").cast("string"), F.lit(", n.confidence = "), F.coalesce(F.col("confidence").cast("string"), F.lit("null")))
+    return mentions.where("entity_id is not null").select(F.concat(F.lit("MATCH (e:Entity {id: "), literal(F.col("entity_id")), F.lit("}), (d:SourceDocument {id: "), doc, F.lit("}) MERGE (n:Mention {id: "), own, F.lit("})"), fields, F.lit(" MERGE (n)-[:REFERS_TO]->(e) MERGE (d)-[:HAS_MENTION]->(n);")).alias("statement"))
+
+
+def script(entities: DataFrame, documents: DataFrame | None = None, mentioned: DataFrame | None = None, relations: DataFrame | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """(part, statement): constraints, documents, entities, then edges, by part in that order."""
     header = entities.sparkSession.createDataFrame([(f"{c};",) for c in CONSTRAINTS], "statement string")
-    header.unionByName(entity_statements(entities)).write.mode("overwrite").text(path)
+    parts = [header, documents and document_statements(documents), entity_statements(entities), mentioned and mentioned_statements(mentioned), relations and relation_statements(relations), mentions and mention_statements(mentions)]
+    out = None
+    for i, x in enumerate(parts):
+        if x is not None:
+            x = x.select(F.lit(i).alias("part"), "statement")
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
+def export_script(path: str, entities: DataFrame, **others: DataFrame) -> None:
+    script(entities, **others).sort("part").select("statement").write.mode("overwrite").text(path)
+
+
+class GraphStore(Protocol):
+    """What a store of graphs offers; a graph server would be another one."""
+
+    def load(self, entities: DataFrame, relations: DataFrame, docs: DataFrame, mentioned: DataFrame | None = None, mentions: DataFrame | None = None) -> None: ...
+
+    def counts(self) -> dict[str, int]: ...
 
 
 class ParquetGraph:
-    """Entities and relations in versioned folders under a root; a load writes a new version and then
-    moves the pointer, so that a failed load leaves the old one and a repeated load changes nothing."""
+    """Documents, entities, relations, MENTIONED_IN edges and mentions in versioned folders under a root.
+
+    A load replaces what the loaded documents had, drops entities that no edge of any kind touches any
+    more, writes a new version and, last, the next pointer file, which must not exist: a failed load
+    leaves the old version, a repeated one changes nothing, and of two loads at once one fails.
+    """
+
+    TABLES = ("documents", "entities", "relations", "mentioned_in", "mentions")
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _pointers(self) -> list[str]:
+        return [n for n in storage.names(self.spark, self.root) if n.startswith("CURRENT-")]
 
-    def _now(self) -> Path | None:
-        at = self.root / "CURRENT"
-        return self.root / at.read_text().strip() if at.exists() else None
+    def _now(self) -> str | None:
+        found = self._pointers()
+        return f"{self.root}/{storage.read_text(self.spark, f'{self.root}/{found[-1]}').strip()}" if found else None
 
     def read(self, table: str) -> DataFrame | None:
         now = self._now()
-        return self.spark.read.parquet(str(now / table)) if now else None
-
-    def load(self, entities: DataFrame, relations: DataFrame, docs: DataFrame) -> None:
-        old_e, old_r = self.read("entities"), self.read("relations")
-        if old_r is not None:
-            kept = without_documents(old_r, docs)
-            entities = merge_entities(without_orphans(old_e, kept), entities)
-            relations = merge_relations(kept, relations, entities)
-        version = self.root / f"v-{uuid.uuid4().hex}"
-        entities.write.parquet(str(version / "entities"))
-        relations.write.parquet(str(version / "relations"))
-        (self.root / "CURRENT.new").write_text(version.name)
-        (self.root / "CURRENT.new").replace(self.root / "CURRENT")
+        return self.spark.read.parquet(f"{now}/{table}") if now else None
+
+    def load(self, entities: DataFrame, relations: DataFrame, docs: DataFrame, mentioned: DataFrame | None = None, mentions: DataFrame | None = None) -> None:
+        """docs: doc_id and what else is known of each; mentioned: entity_id, doc_id, count, pages; mentions: mention_id, entity_id, doc_id, .."""
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        if mentioned is None:
+            mentioned = self.spark.createDataFrame([], f"entity_id string, doc_id {kind}, count bigint, pages array<string>")
+        if mentions is None:
+            mentions = self.spark.createDataFrame([], f"mention_id string, entity_id string, doc_id {kind}")
+        pointers = self._pointers()
+        if pointers:
+            kept = {t: without_documents(self.read(t), docs) for t in ("documents", "relations", "mentioned_in", "mentions")}
+            edges = kept["relations"].select("source_id", "target_id").union(kept["mentioned_in"].select("entity_id", F.lit(None).cast("string")))
+            entities = merge_entities(without_orphans(self.read("entities"), edges), entities)
+            relations = merge_relations(kept["relations"], relations, entities)
+            docs, mentioned, mentions = (kept[t].unionByName(x, allowMissingColumns=True) for t, x in (("documents", docs), ("mentioned_in", mentioned), ("mentions", mentions)))
+        else:
+            relations = merge_relations(relations.limit(0), relations, entities)
+        version = f"v-{uuid.uuid4().hex}"
+        for name, df in zip(self.TABLES, (docs, entities, relations, mentioned, mentions), strict=True):
+            df.write.parquet(f"{self.root}/{version}/{name}")
+        after = int(pointers[-1].removeprefix("CURRENT-")) + 1 if pointers else 0
+        storage.create_text(self.spark, f"{self.root}/CURRENT-{after:09d}", version)
 
     def counts(self) -> dict[str, int]:
-        return {t: self.read(t).count() if self._now() else 0 for t in ("entities", "relations")}
+        return {t: self.read(t).count() if self._now() else 0 for t in self.TABLES}

@@ -10,7 +10,7 @@ GROW, SHRINK, GAP, MOST_TOKENS, MOST_TAGGED = 2, 2, 2, 12, 40
 # Characters that join words, and words that don't open or close a name.
 TIGHT, LOOSE, OPENERS, CLOSERS = ("-", "–", "'", "’"), ("&",), ("(", "["), (")", "]")
 ARTICLES = ("the", "a", "an")
-FUNCTION_WORDS = ARTICLES + tuple("of in on at by for to from and or its his her their our this that these those".split())
+FUNCTION_WORDS = ARTICLES + ("of", "in", "on", "at", "by", "for", "to", "from", "and", "or", "its", "his", "her", "their", "our", "this", "that", "these", "those")
 
 
 def status_for(confidence: Column, accept: float = ACCEPT) -> Column:
@@ -34,7 +34,7 @@ def span_islands(tokens: DataFrame) -> DataFrame:
 
     tokens: doc_id, chunk_id, sent_idx, tok_idx, text, start, end, kind, type (null: no entity), p.
     Tokens join if they follow one another in a sentence, or one punctuation mark stands between them
-    that is &, opens onto the second, closes the first, or touches both as a hyphen or apostrophe.
+    that is an ampersand, opens onto the second, closes the first, or touches both as a hyphen or apostrophe.
     Leading and trailing function words are trimmed; a span of nothing else goes. score is the mean of
     p. A closing bracket that touches the span is taken in if it is open inside.
     """
@@ -73,14 +73,19 @@ def close_brackets(spans: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.withColumn("text", cut(F.col("start"), F.col("end"))).drop("doc_text", "after")
 
 
-def boundary_ranges(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(span keys, ord, c_from, c_to, text) candidates: the tagged range, then grown, then shrunk by up to
-    two tokens, then joined with neighbours up to two tokens away; edges are pulled in off punctuation and
-    function words; inside the sentence and the chunk, at most 12 tokens (the tagged range 40); without
-    line ends; of equal texts the first counts.
+def boundary_candidates(spans: DataFrame, tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """(span keys, ord, c_from, c_to, start, end, text) candidates: the tagged range, then grown, then shrunk by up to
+    two tokens, then joined with neighbours up to two tokens away.
+
+    Edges are pulled in to askable tokens, the left one off words that can't open a name (a capitalised
+    article only where it opens the sentence), the right one off those that can't close it, a range's
+    last token excepted. A candidate lies in the sentence and the chunk, has at most 12 tokens (the
+    tagged range 40), takes in a closing bracket that balances an open one, holds no line end and isn't
+    `none`; of equal texts of a span the first counts.
 
     spans: doc_id, chunk_id, span_id, sent_idx, tok_from, tok_to (both included). tokens: doc_id,
-    chunk_id, tok_idx, sent_idx, text, kind, start, end.
+    chunk_id, tok_idx, sent_idx, text, kind, start, end. docs: doc_id, text. Ranges meet the tokens of
+    their chunk, which is of bounded size; texts are read once for each document.
     """
     key = ["doc_id", "chunk_id", "span_id"]
     near = spans.select("doc_id", "chunk_id", F.col("span_id").alias("o_id"), F.col("tok_from").alias("o_from"), F.col("tok_to").alias("o_to"))
@@ -90,22 +95,42 @@ def boundary_ranges(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(offsets)))
     shifted = spans.select(*key, "sent_idx", "tok_from", "tok_to", F.explode(table).alias("o")).select(*key, "sent_idx", "tok_from", "tok_to", (F.col("tok_from") + F.col("o.a")).alias("c_from"), (F.col("tok_to") + F.col("o.b")).alias("c_to"), F.col("o.ord").alias("ord"))
     ranges = shifted.unionByName(joined).where("c_from <= c_to")
-    t = tokens.select("doc_id", "chunk_id", "tok_idx", F.col("sent_idx").alias("t_sent"), "text", "kind", "start", "end")
-    # every candidate meets the few tokens of its range in its chunk
+    in_chunk = Window.partitionBy("doc_id", "chunk_id").orderBy("tok_idx")
+    opens = F.coalesce(F.lag("sent_idx").over(in_chunk) != F.col("sent_idx"), F.lit(True))
+    askable = F.col("kind").isin("word", "number")
+    part = F.struct(
+        F.col("tok_idx").alias("i"), F.col("sent_idx").alias("sent"), "start", "end", askable.alias("askable"),
+        (~askable | is_leading_function_word(F.col("text"), opens)).alias("lead"), (~askable | is_trailing_function_word(F.col("text"))).alias("trail"),
+    ).alias("token")
+    t = tokens.select("doc_id", "chunk_id", "tok_idx", part)
     inside = ranges.join(t, ["doc_id", "chunk_id"]).where("tok_idx between c_from and c_to")
-    edge = (F.col("kind") == "punct") | is_trailing_function_word(F.col("text"))
-    parts = inside.groupBy(*key, "ord", "c_from", "c_to", "sent_idx", "tok_from", "tok_to").agg(
-        F.count("*").alias("n"), F.min("t_sent").alias("lo_sent"), F.max("t_sent").alias("hi_sent"),
-        F.min(F.when(~edge, F.col("tok_idx"))).alias("r_from"), F.max(F.when(~edge, F.col("tok_idx"))).alias("r_to"),
-    )
-    fits = (F.col("n") == F.col("c_to") - F.col("c_from") + 1) & (F.col("lo_sent") == F.col("sent_idx")) & (F.col("hi_sent") == F.col("sent_idx"))
-    size = F.col("r_to") - F.col("r_from") + 1
-    return parts.where(fits & F.col("r_from").isNotNull() & (size <= F.when(F.col("ord") == 0, MOST_TAGGED).otherwise(MOST_TOKENS))).select(*key, "ord", F.col("r_from").alias("c_from"), F.col("r_to").alias("c_to"))
-
-
-def first_of_equal(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """One candidate for each value of by: the one with the smallest ord."""
-    return candidates.groupBy(*by).agg(F.min(F.struct("ord", "c_from", "c_to")).alias("c")).select(*by, "c.ord", *(f"c.{x}" for x in ("c_from", "c_to") if x not in by))
+    parts = inside.groupBy(*key, "ord", "c_from", "c_to", "sent_idx", "tok_from", "tok_to").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    parts = parts.where(F.size("t") == F.col("c_to") - F.col("c_from") + 1)
+    last = F.element_at("t", -1)
+    parts = parts.withColumn("first", F.coalesce(F.get(F.filter("t", lambda x: ~x["lead"]), F.lit(0)), last))
+    parts = parts.withColumn("last", F.coalesce(F.try_element_at(F.filter("t", lambda x: ~x["trail"] & (x["i"] >= F.col("first.i"))), F.lit(-1)), F.col("first")))
+    size = F.col("last.i") - F.col("first.i") + 1
+    tagged = (F.col("first.i") == F.col("tok_from")) & (F.col("last.i") == F.col("tok_to"))
+    fits = F.col("first.askable") & F.col("last.askable") & (F.col("first.sent") == F.col("sent_idx")) & (F.col("last.sent") == F.col("sent_idx"))
+    found = parts.where(fits & (size <= F.when(tagged, MOST_TAGGED).otherwise(MOST_TOKENS)))
+    found = found.select(*key, "ord", F.col("first.i").alias("c_from"), F.col("last.i").alias("c_to"), F.col("first.start").alias("start"), F.col("last.end").alias("end"))
+    texts = sliced(found, docs).where("not text rlike '\\n' and text <> 'none'")
+    by = [*key, "text"]
+    return texts.groupBy(*by).agg(F.min(F.struct("ord", "c_from", "c_to", "start", "end")).alias("c")).select(*key, *(f"c.{x}" for x in ("ord", "c_from", "c_to", "start", "end")), "text")
+
+
+def sliced(ranges: DataFrame, docs: DataFrame) -> DataFrame:
+    """ranges (doc_id, start, end, ..) with text, an adjacent closing bracket that balances an open one taken in.
+
+    The ranges of a document are gathered, so that its text is joined and read once.
+    """
+    others = [c for c in ranges.columns if c != "doc_id"]
+    grouped = ranges.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("ranges"))
+    rows = grouped.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id").select("doc_id", "doc_text", F.explode("ranges").alias("r"))
+    plain = F.substring(F.col("doc_text"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start"))
+    rows = rows.withColumn("plain", plain).withColumn("next", F.substring(F.col("doc_text"), F.col("r.end") + 1, F.lit(1))).drop("doc_text")
+    wider = (F.regexp_count("plain", F.lit(r"[(\[]")) > F.regexp_count("plain", F.lit(r"[)\]]"))) & F.col("next").isin(*CLOSERS)
+    return rows.select("doc_id", *(F.when(wider, F.col("r.end") + 1).otherwise(F.col("r.end")).alias(c) if c == "end" else F.col(f"r.{c}") for c in others), F.when(wider, F.concat("plain", "next")).otherwise(F.col("plain")).alias("text"))
 
 
 def drop_overlaps(items: DataFrame, key: list[str], accept: float = ACCEPT) -> DataFrame:

@@ -15,15 +15,15 @@ SCANNED_CHARS, RUNNING_SHARE, RUNNING_PAGES, HEADING_SHARE = 20, 0.5, 3, 0.6
 CHUNK_ASKABLE, CONTEXT_CHARS = 80, 300
 
 # Abbreviations that keep their period; those before a name; those before a number.
-ABBREVIATIONS = "Mr Mrs Ms Dr Prof St Jr Sr Inc Ltd Corp Co Gen Sen Rep Gov Lt Col Capt Sgt Mt Ft No vs etc".split()
-BEFORE_NAME = "Mr Mrs Ms Dr Prof St Gen Sen Rep Gov Lt Col Capt Sgt Mt Ft vs".split()
-BEFORE_NUMBER = "No Nos Art Arts Sec Para para p pp".split()
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Jr", "Sr", "Inc", "Ltd", "Corp", "Co", "Gen", "Sen", "Rep", "Gov", "Lt", "Col", "Capt", "Sgt", "Mt", "Ft", "No", "vs", "etc"]
+BEFORE_NAME = ["Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Gen", "Sen", "Rep", "Gov", "Lt", "Col", "Capt", "Sgt", "Mt", "Ft", "vs"]
+BEFORE_NUMBER = ["No", "Nos", "Art", "Arts", "Sec", "Para", "para", "p", "pp"]
 
 _CHAR = r"[\p{L}\p{N}]"
 TOKEN = regex.compile(
     rf"(?:\p{{L}}\.){{2,}}|(?<![A-Za-z0-9_])(?:{'|'.join(ABBREVIATIONS)})\.|\p{{Lu}}\.(?=\s+\p{{Lu}})"
-    rf"|(?P<number>\p{{N}}+(?:[.,:/-]\p{{N}}+)*%?)(?!\p{{L}})|(?P<possessive>['’]s(?!{_CHAR}))"
-    rf"|{_CHAR}+(?:['’](?!s(?!{_CHAR})){_CHAR}+)*|&|(?P<punct>\S)"
+    rf"|(?P<number>\p{{N}}+(?:[.,:/-]\p{{N}}+)*%?)|(?P<possessive>['’][sS](?!{_CHAR}))"
+    rf"|{_CHAR}+(?:(?:['’](?![sS](?!{_CHAR}))|&){_CHAR}+)*|(?P<punct>\S)"
 )
 BREAK = regex.compile(r"[.!?…]+[\"'”’)\]]*\s+(?!\p{Ll})|[!?]+[\"'”’)\]]*\s+|\n+")
 CONTINUES = regex.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(BEFORE_NAME)}|\p{{Lu}})\.\s*$")
@@ -98,7 +98,7 @@ def normalize_pages(pages: DataFrame) -> DataFrame:
 
 def page_at(page_map, offset):
     """The first page that ends after the offset, else the last, else 1."""
-    return F.coalesce(F.get(F.filter(page_map, lambda p: p["end"] > offset), F.lit(0))["page"], F.element_at(page_map, -1)["page"], F.lit(1))
+    return F.coalesce(F.get(F.filter(page_map, lambda p: p["end"] > offset), F.lit(0))["page"], F.try_element_at(page_map, F.lit(-1))["page"], F.lit(1))
 
 
 def split_sentences(text: str) -> list[tuple[int, int]]:
@@ -135,8 +135,8 @@ def segment_text(text: str, max_askable: int = CHUNK_ASKABLE) -> tuple[list, lis
     """Sentences (start, end), tokens (text, start, end, kind, sentence) and chunks.
 
     Sentences with more than max_askable askable tokens are cut after every max_askable-th. Chunks are
-    packed greedily: one closes when the next sentence would take it over the limit. Ranges of
-    sentences and tokens are half open; chunk numbers count chunks without a token, which are dropped.
+    packed greedily: one closes when the next sentence would take it over the limit. Tokens end with their chunk's
+    id. Ranges of sentences and tokens are half open; chunk numbers count chunks without a token, which are dropped.
     """
     sentences, tokens = [], []
     for a, b in split_sentences(text):
@@ -169,12 +169,14 @@ def segment_text(text: str, max_askable: int = CHUNK_ASKABLE) -> tuple[list, lis
         inside = [i for x in range(s, e) for i in per.get(x, [])]
         if inside:
             before = text[slice(*sentences[s - 1])][-CONTEXT_CHARS:] if s else ""
+            for i in inside:
+                tokens[i] = (*tokens[i], f"c{k:04d}")
             chunks.append((f"c{k:04d}", k, sentences[s][0], sentences[e - 1][1], before, s, e, inside[0], inside[-1] + 1))
     return sentences, tokens, chunks
 
 
 SEGMENTED = (
-    "doc_id bigint, sentences array<struct<start:int,end:int>>, tokens array<struct<text:string,start:int,end:int,kind:string,sentence:int>>, "
+    "doc_id bigint, sentences array<struct<start:int,end:int>>, tokens array<struct<text:string,start:int,end:int,kind:string,sentence:int,chunk_id:string>>, "
     "chunks array<struct<id:string,index:int,start:int,end:int,context_before:string,sentence_start:int,sentence_end:int,token_start:int,token_end:int>>"
 )
 
@@ -192,6 +194,5 @@ def segment(docs: DataFrame, max_askable: int = CHUNK_ASKABLE) -> DataFrame:
 
 def tokens_of(segmented: DataFrame) -> DataFrame:
     """(doc_id, tok_idx, text, start, end, kind, sent_idx, chunk_id), one row a token."""
-    rows = segmented.select("doc_id", "chunks", F.posexplode("tokens").alias("tok_idx", "t"))
-    inside = F.filter("chunks", lambda c: (c["token_start"] <= F.col("tok_idx")) & (F.col("tok_idx") < c["token_end"]))
-    return rows.select("doc_id", "tok_idx", "t.text", "t.start", "t.end", "t.kind", F.col("t.sentence").alias("sent_idx"), F.get(inside, F.lit(0))["id"].alias("chunk_id"))
+    rows = segmented.select("doc_id", F.posexplode("tokens").alias("tok_idx", "t"))
+    return rows.select("doc_id", "tok_idx", "t.text", "t.start", "t.end", "t.kind", F.col("t.sentence").alias("sent_idx"), "t.chunk_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def sql_over(spark: SparkSession, sf_dir: str, query: str, *tables: str) -> DataFrame:
+    """A query over tables, read as frames of its own: no view of the caller's session is touched."""
+    for t in tables:
+        query = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", query)
+    return spark.sql(query, **{t: load(spark, sf_dir, t) for t in tables})
+
+
 def values(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(rows, ddl)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import answers, report
-from spanloom.plans.base import load, registrar, rounded, sql_values, values
+from spanloom.plans.base import load, registrar, rounded, sql_over, sql_values, values
 
 QUERIES, ORACLE_SQL, register = registrar()
 
@@ -23,8 +23,7 @@ CALLS_SQL = """
 
 
 def calls_of(spark, sf_dir, last="mini"):
-    load(spark, sf_dir, "events").createOrReplaceTempView("events")
-    df = spark.sql(CALLS_SQL.format(k="get_json_object(props, '$.k')", last=f"'{last}'"))
+    df = sql_over(spark, sf_dir, CALLS_SQL.format(k="get_json_object(props, '$.k')", last=f"'{last}'"), "events")
     return df.withColumn("status_codes", F.array(F.col("status").cast("int")))
 
 
@@ -87,9 +86,7 @@ RUNS_SQL = """
 
 
 def runs_of(spark, sf_dir):
-    for t in ("orders", "lineitem"):
-        load(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(RUNS_SQL)
+    return sql_over(spark, sf_dir, RUNS_SQL, "orders", "lineitem")
 
 
 @register(f"""
@@ -108,9 +105,7 @@ STAGE_SQL = """
 
 
 def stage_calls(spark, sf_dir):
-    for t in ("orders", "lineitem"):
-        load(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(STAGE_CALLS)
+    return sql_over(spark, sf_dir, STAGE_CALLS, "orders", "lineitem")
 
 
 @register(STAGE_SQL.format(calls=STAGE_CALLS, runs="own"))

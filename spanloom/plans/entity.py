@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.names import initials, is_token_subset, jaro_winkler
 from spanloom.functions.text import name_tokens, normalize_name
-from spanloom.operators import answers, entities, graph, ner, relations
+from spanloom.operators import answers, components, entities, graph, ner, relations
 from spanloom.plans.base import load, registrar, rounded, sql_values, values
 from spanloom.schemas import node_label, relationship_type
 
@@ -42,8 +43,6 @@ def review_status(spark, sf_dir):
     g AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY l_suppkey ORDER BY i) AS isl FROM f WHERE type IS NOT NULL)
     SELECT l_suppkey AS doc_id, type, CAST(min(i) AS INTEGER) AS tok_from, CAST(max(i) AS INTEGER) AS tok_to, round(avg(p), 6) AS score FROM g GROUP BY l_suppkey, isl, type""")
 def span_islands(spark, sf_dir):
-    from pyspark.sql import Window
-
     l = load(spark, sf_dir, "lineitem")
     i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
     t = l.select(F.col("l_suppkey").alias("doc_id"), F.lit("c0000").alias("chunk_id"), F.lit(0).alias("sent_idx"), i.alias("tok_idx"), F.concat(F.lit("w"), i.cast("string")).alias("text"), F.lit("word").alias("kind"), (i * 10).alias("start"), (i * 10 + 9).alias("end"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("type"), F.col("l_discount").alias("p"))
@@ -54,16 +53,15 @@ def span_islands(spark, sf_dir):
     WITH o(ord, a, b) AS (VALUES (0, 0, 0), (1, 0, 1), (2, 0, 2), (3, -1, 0), (4, -1, 1), (5, -1, 2), (6, -2, 0), (7, -2, 1), (8, -2, 2), (9, 0, -1), (10, 0, -2), (11, 1, 0), (12, 1, -1), (13, 1, -2), (14, 2, 0), (15, 2, -1), (16, 2, -2)),
     n AS (SELECT l_orderkey AS d, count(*) AS n FROM lineitem GROUP BY 1),
     c AS (SELECT d, ord, 2 + a AS f, 3 + b AS t FROM n, o WHERE n >= 3)
-    SELECT n.d AS doc_id, CAST(min(ord) AS INTEGER) AS ord, CAST(f AS INTEGER) AS c_from, CAST(t AS INTEGER) AS c_to FROM c JOIN n USING (d) WHERE f >= 1 AND t <= n AND f <= t GROUP BY n.d, f, t""")
+    SELECT n.d AS doc_id, CAST(min(ord) AS INTEGER) AS ord, CAST(f AS INTEGER) AS c_from, CAST(t AS INTEGER) AS c_to, (SELECT string_agg('w' || lpad(CAST(x AS VARCHAR), 2, '0'), ' ' ORDER BY x) FROM range(CAST(f AS BIGINT), CAST(t + 1 AS BIGINT)) r(x)) AS text FROM c JOIN n USING (d) WHERE f >= 1 AND t <= n AND f <= t GROUP BY n.d, f, t""")
 def boundary_candidates(spark, sf_dir):
     """Lines of an order as the words of a sentence, lines 2 and 3 as its span."""
     l = load(spark, sf_dir, "lineitem")
-    from pyspark.sql import Window
-
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    t = l.select(F.col("l_orderkey").alias("doc_id"), F.lit("c0000").alias("chunk_id"), i.alias("tok_idx"), F.lit(0).alias("sent_idx"), F.lit("w").alias("text"), F.lit("word").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    t = l.select(F.col("l_orderkey").alias("doc_id"), F.lit("c0000").alias("chunk_id"), i.alias("tok_idx"), F.lit(0).alias("sent_idx"), F.concat(F.lit("w"), F.lpad(i.cast("string"), 2, "0")).alias("text"), F.lit("word").alias("kind"), (4 * (i - 1)).alias("start"), (4 * i - 1).alias("end"))
+    docs = t.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     s = t.groupBy("doc_id", "chunk_id").agg(F.max("tok_idx").alias("n")).where("n >= 3").select("doc_id", "chunk_id", F.lit(0).alias("span_id"), F.lit(0).alias("sent_idx"), F.lit(2).alias("tok_from"), F.lit(3).alias("tok_to"))
-    return ner.first_of_equal(ner.boundary_ranges(s, t), ["doc_id", "c_from", "c_to"]).select("doc_id", "ord", "c_from", "c_to")
+    return ner.boundary_candidates(s, t, docs).select("doc_id", "ord", "c_from", "c_to", "text")
 
 
 @register("""
@@ -97,24 +95,26 @@ def normalize_names(spark, sf_dir):
 
 def nodes_of(spark, sf_dir):
     p = load(spark, sf_dir, "part")
-    m = p.select(F.lit("d").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("mention_id"), F.col("p_type").alias("type"), F.when(F.col("p_partkey") % 2 == 0, F.initcap("p_name")).otherwise(F.col("p_name")).alias("text"), F.col("p_brand").alias("context"))
+    m = p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("mention_id"), F.col("p_type").alias("type"), F.when(F.col("p_partkey") % 2 == 0, F.initcap("p_name")).otherwise(F.col("p_name")).alias("text"), F.col("p_size").cast("string").alias("context"))
     return entities.name_nodes(m, ["doc_id"])
 
 
-MENTIONS = f"SELECT p_partkey AS ord, p_type AS type, CASE WHEN p_partkey % 2 = 0 THEN {{initcap}} ELSE p_name END AS text, p_brand AS context FROM part"
+MENTIONS = f"SELECT p_brand AS doc_id, p_partkey AS ord, p_type AS type, CASE WHEN p_partkey % 2 = 0 THEN {{initcap}} ELSE p_name END AS text, CAST(p_size AS VARCHAR) AS context FROM part"
 INITCAP = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 NODES = f"WITH m AS (SELECT *, {norm('text')} AS normalized FROM ({MENTIONS.format(initcap=INITCAP)}))"
 
 
 @register(f"""
-    {NODES}, s AS (SELECT type, normalized, text, count(*) AS n, min(ord) AS f FROM m GROUP BY ALL),
-    c AS (SELECT type, normalized, context, min(ord) AS f FROM m GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY type, normalized ORDER BY f, context) AS rn FROM c)
-    SELECT type, normalized, count(*) AS mentions, (SELECT arg_max(text, struct_pack(n := n, f := -f)) FROM s WHERE s.type = m.type AND s.normalized = m.normalized) AS surface,
-           (SELECT string_agg(context, ',' ORDER BY rn) FROM cr WHERE cr.type = m.type AND cr.normalized = m.normalized AND rn <= 2) AS contexts
-    FROM m GROUP BY type, normalized""")
+    {NODES}, s AS (SELECT doc_id, type, normalized, text, count(*) AS n, min(ord) AS f FROM m GROUP BY ALL),
+    c AS (SELECT doc_id, type, normalized, context, min(ord) AS f FROM m GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, normalized ORDER BY f, context) AS rn FROM c),
+    sr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, normalized ORDER BY n DESC, f) AS rn FROM s),
+    cs AS (SELECT doc_id, type, normalized, string_agg(context, ',' ORDER BY rn) AS contexts FROM cr WHERE rn <= 2 GROUP BY ALL)
+    SELECT m.doc_id, m.type, m.normalized, count(*) AS mentions, any_value(sr.text) AS surface, any_value(cs.contexts) AS contexts
+    FROM m JOIN sr ON sr.doc_id = m.doc_id AND sr.type = m.type AND sr.normalized = m.normalized AND sr.rn = 1 LEFT JOIN cs ON cs.doc_id = m.doc_id AND cs.type = m.type AND cs.normalized = m.normalized
+    GROUP BY m.doc_id, m.type, m.normalized""")
 def name_nodes(spark, sf_dir):
     n = nodes_of(spark, sf_dir)
-    return n.select("type", "normalized", "mentions", entities.most_common_surface(F.col("surfaces")).alias("surface"), F.array_join("contexts", ",").alias("contexts"))
+    return n.select("doc_id", "type", "normalized", "mentions", entities.most_common_surface(F.col("surfaces")).alias("surface"), F.array_join("contexts", ",").alias("contexts"))
 
 
 BRAND_NAMES = "SELECT DISTINCT p_brand, p_name FROM part"
@@ -131,16 +131,32 @@ def pair_subset(spark, sf_dir):
     return a.join(b, ["p_brand", "w"]).where(is_token_subset(F.col("ta"), F.col("tb"))).select("p_brand", "a", "b").distinct()
 
 
-@register(f"SELECT p_name, list_reduce(list_transform(string_split(p_name, ' '), lambda x: x[1]), lambda x, y: x || y) AS acronym FROM (SELECT DISTINCT p_name FROM part)")
+#: Part names as documents have them: each brand's names, and the initials of some of them, with dots for the odd parts.
+ACRONYM_NAMES = """
+    SELECT p_brand AS doc_id, p_partkey AS ord, 'x' AS type, p_name AS text FROM part
+    UNION ALL SELECT p_brand, p_partkey + 1000000000, 'x', CASE WHEN p_partkey % 2 = 0 THEN upper(i) ELSE upper(regexp_replace(i, '(.)', '\\1.', 'g')) END FROM (SELECT *, {initials} AS i FROM part)"""
+
+
+def acronym_nodes(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    short = F.upper(initials(name_tokens(F.col("p_name"))))
+    m = p.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text")).unionByName(
+        p.select(F.col("p_brand").alias("doc_id"), (F.col("p_partkey") + 1000000000).alias("ord"), F.when(F.col("p_partkey") % 2 == 0, short).otherwise(F.regexp_replace(short, "(.)", "$1.")).alias("text")))
+    return entities.name_nodes(m.withColumns({"type": F.lit("x"), "mention_id": F.col("ord"), "context": F.lit(None).cast("string")}), ["doc_id"])
+
+
+@register(f"""
+    WITH m AS (SELECT doc_id, {norm('text')} AS n FROM ({ACRONYM_NAMES.format(initials="list_reduce(list_transform(string_split(p_name, ' '), lambda x: x[1]), lambda x, y: x || y)")})),
+    n AS (SELECT DISTINCT doc_id, n, regexp_replace(n, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS letters, list_filter(string_split(n, ' '), lambda x: x <> '') AS t FROM m WHERE n <> '')
+    SELECT a.doc_id, a.n AS short, b.n AS long FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.n <> b.n AND length(a.letters) >= 2 AND len(b.t) >= 2 AND a.letters = list_reduce(list_transform(b.t, lambda x: x[1]), lambda x, y: x || y)""")
 def pair_acronym(spark, sf_dir):
-    return load(spark, sf_dir, "part").select("p_name").distinct().select("p_name", initials(name_tokens(F.col("p_name"))).alias("acronym"))
+    return entities.acronym_pairs(acronym_nodes(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("normalized_a").alias("short"), F.col("normalized_b").alias("long"))
 
 
 @register()
 def pair_similar(spark, sf_dir):
-    n = load(spark, sf_dir, "part").select("p_name").distinct()
-    pairs = n.select(F.col("p_name").alias("a")).join(n.select(F.col("p_name").alias("b")), F.expr("a < b and least(length(a), length(b)) >= 0.25 * greatest(length(a), length(b))"))
-    return pairs.withColumn("similarity", F.round(jaro_winkler("a", "b"), 6)).where("similarity >= 0.85")
+    pairs = entities.similar_pairs(nodes_of(spark, sf_dir), ["doc_id"])
+    return pairs.select("doc_id", "type", F.col("left.name").alias("a"), F.col("right.name").alias("b"), F.round(jaro_winkler("left.name", "right.name"), 6).alias("similarity"))
 
 
 @register()
@@ -153,33 +169,26 @@ def route_score(spark, sf_dir):
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", entities.route(F.col("l_quantity") / 20).alias("outcome"))
 
 
-#: Customers and orders' customers as a graph: each order with an even key links its customer with the next order's.
-EDGES = "SELECT a.o_custkey AS a, b.o_custkey AS b FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey % 16 = 0"
-
-
-def edges_of(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
-    return o.where("o_orderkey % 16 = 0").select((F.col("o_orderkey") + 1).alias("k"), F.col("o_custkey").alias("a")).join(o.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("b")), "k").select("a", "b")
-
-
-@register(f"""
-    WITH RECURSIVE e AS (SELECT a, b FROM ({EDGES}) UNION SELECT b, a FROM ({EDGES})), n AS (SELECT DISTINCT a AS node FROM e),
-    r AS (SELECT node, node AS label FROM n UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.node) SELECT node, min(label) AS component FROM r GROUP BY node""")
+@register("""
+    SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component
+    FROM (SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n > 1""")
 def clusters(spark, sf_dir):
-    return entities.components(edges_of(spark, sf_dir))
+    """Chains: each order is linked with the customer's next one, so a component is a customer's orders."""
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return components.connected_components(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), after.alias("b")))
 
 
 @register(f"""
-    {NODES}, s AS (SELECT type, normalized, text, count(*) AS n, min(ord) AS f FROM m GROUP BY ALL),
-    g AS (SELECT type, string_split(normalized, ' ')[1] AS component, text, sum(n) AS n, min(f) AS f, max(normalized) AS normalized FROM s GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY type, component ORDER BY CASE WHEN regexp_matches(text, '^[\\p{{Lu}}\\p{{N}}]') THEN 0 ELSE 1 END, length(normalized) DESC, length(text), n DESC, f) AS rn FROM g)
-    SELECT type, component, max(text) FILTER (rn = 1) AS canonical_name, CAST(sum(n) AS BIGINT) AS mentions, string_agg(text, ',' ORDER BY text) FILTER (rn > 1) AS aliases,
-           substr(sha256(type || '|' || {norm("max(text) FILTER (rn = 1)")}), 1, 16) AS entity_id FROM r GROUP BY type, component""")
+    {NODES}, s AS (SELECT doc_id, type, normalized, text, count(*) AS n, min(ord) AS f FROM m GROUP BY ALL),
+    g AS (SELECT doc_id, type, string_split(normalized, ' ')[1] AS component, text, sum(n) AS n, min(f) AS f, max(normalized) AS normalized FROM s GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, component ORDER BY CASE WHEN regexp_matches(text, '^[\\p{{Lu}}\\p{{N}}]') THEN 0 ELSE 1 END, length(normalized) DESC, length(text), n DESC, f) AS rn FROM g)
+    SELECT doc_id, type, component, max(text) FILTER (rn = 1) AS canonical_name, CAST(sum(n) AS BIGINT) AS mentions, string_agg(text, ',' ORDER BY text) FILTER (rn > 1) AS aliases,
+           substr(sha256(type || '|' || {norm("max(text) FILTER (rn = 1)")}), 1, 16) AS entity_id FROM r GROUP BY doc_id, type, component""")
 def canonical_names(spark, sf_dir):
     n = nodes_of(spark, sf_dir)
     labels = n.select("doc_id", "type", "normalized", F.split("normalized", " ")[0].alias("component"))
     e = entities.entities(n, labels, ["doc_id"])
-    return e.select("type", "component", "canonical_name", "mentions", F.when(F.size("aliases") > 0, F.array_join("aliases", ",")).alias("aliases"), "entity_id")
+    return e.select("doc_id", "type", "component", "canonical_name", "mentions", F.when(F.size("aliases") > 0, F.array_join("aliases", ",")).alias("aliases"), "entity_id")
 
 
 SIGNATURES = [(0, "works_for", "person", "organization", "A works for B"), (1, "located_in", "organization", "location", "A is located in B"), (1, "located_in", "event", "location", "A is located in B"), (2, "part_of", "organization", "organization", "A is part of B")]
@@ -219,21 +228,24 @@ def relation_aggregate(spark, sf_dir):
     return rounded(relations.aggregate_relations(i).drop("evidence"))
 
 
-SLICE = "SELECT CAST(c_custkey AS VARCHAR) AS entity_id, c_mktsegment AS type, c_name || '{tag}' AS canonical_name, ['n' || CAST(c_custkey % {m} AS VARCHAR), '{tag}'] AS aliases, c_acctbal * {sign} AS confidence FROM customer WHERE c_custkey % {d} = 0"
+SIDE = "SELECT CAST(c_custkey AS VARCHAR) AS entity_id, c_mktsegment AS type, c_name || '{tag}' AS canonical_name, ['n' || CAST(c_custkey % {m} AS VARCHAR), '{tag}'] AS aliases, c_acctbal * {sign} AS confidence FROM customer{only}"
 
 
-def entity_slice(spark, sf_dir, tag, m, sign, d):
-    c = load(spark, sf_dir, "customer").where(F.col("c_custkey") % d == 0)
+def entity_side(spark, sf_dir, tag, m, sign, ordered=False):
+    c = load(spark, sf_dir, "customer")
+    if ordered:
+        c = c.join(load(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     return c.select(F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_mktsegment").alias("type"), F.concat("c_name", F.lit(tag)).alias("canonical_name"), F.array(F.concat(F.lit("n"), (F.col("c_custkey") % m).cast("string")), F.lit(tag)).alias("aliases"), (F.col("c_acctbal") * sign).alias("confidence"))
 
 
 @register(f"""
-    WITH o AS ({SLICE.format(tag='old', m=3, sign=1, d=2)}), n AS ({SLICE.format(tag='new', m=5, sign=-1, d=3)})
+    WITH o AS ({SIDE.format(tag='old', m=3, sign=1, only='')}), n AS ({SIDE.format(tag='new', m=5, sign=-1, only=' WHERE c_custkey IN (SELECT o_custkey FROM orders)')})
     SELECT coalesce(n.entity_id, o.entity_id) AS entity_id, coalesce(n.type, o.type) AS type, coalesce(n.canonical_name, o.canonical_name) AS canonical_name,
            array_to_string(list_concat(list_filter(coalesce(o.aliases, []), lambda x: NOT list_contains(coalesce(n.aliases, []), x)), coalesce(n.aliases, [])), ',') AS aliases, round(greatest(o.confidence, n.confidence), 6) AS confidence
     FROM o FULL JOIN n ON o.entity_id = n.entity_id""")
 def graph_upsert(spark, sf_dir):
-    merged = graph.merge_entities(entity_slice(spark, sf_dir, "old", 3, 1, 2), entity_slice(spark, sf_dir, "new", 5, -1, 3))
+    """All customers as they were, merged with those that have orders."""
+    merged = graph.merge_entities(entity_side(spark, sf_dir, "old", 3, 1), entity_side(spark, sf_dir, "new", 5, -1, ordered=True))
     return rounded(merged.withColumn("aliases", F.array_join("aliases", ",")))
 
 

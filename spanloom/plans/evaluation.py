@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.operators import evaluation as E
-from spanloom.plans.base import load, registrar, rounded
+from spanloom.plans.base import load, registrar, rounded, sql_over
 
 QUERIES, ORACLE_SQL, register = registrar()
 
@@ -17,8 +17,7 @@ PRF3 = PRF.format(tp="tp", fp="fp", fn="fn")
 
 
 def verdicts(spark, sf_dir):
-    load(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
-    return spark.sql(VERDICTS)
+    return sql_over(spark, sf_dir, VERDICTS, "lineitem")
 
 
 @register(COUNTS.format(v=VERDICTS, ok="is_entity AND boundary_exact AND type_correct", prf=PRF3))
@@ -123,14 +122,14 @@ def repeat_sample(spark, sf_dir):
 
 
 @register("""
-    WITH q AS (SELECT doc_id, item_id AS quote_id, d.text AS text, substr(b.text, 1, 40) AS quote FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 40))),
+    WITH q AS (SELECT doc_id, item_id AS quote_id, d.text AS text, b.text AS quote FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
     m AS (SELECT doc_id AS m_doc, n_chars % 700 AS s, n_chars % 700 + 150 AS e FROM documents),
     o AS (SELECT doc_id, quote_id, quote, unnest(range(0, length(text) - length(quote) + 1)) AS pos, text FROM q),
     hit AS (SELECT doc_id, quote_id, pos, length(quote) AS n FROM o WHERE substr(text, CAST(pos + 1 AS BIGINT), length(quote)) = quote)
     SELECT doc_id, quote_id, CAST(min(pos) AS INTEGER) AS first_clear, count(*) AS clear FROM hit WHERE NOT EXISTS (SELECT 1 FROM m WHERE m_doc = doc_id AND pos < e AND pos + n > s) GROUP BY ALL""")
 def verified_misses(spark, sf_dir):
     docs, bench = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
-    quotes = docs.select("doc_id", "text").join(F.broadcast(bench.select(F.col("item_id").alias("quote_id"), F.substring("text", 1, 40).alias("quote"))), F.expr("contains(text, quote)"))
+    quotes = E.quoted(docs.select("doc_id", "text"), bench.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")))
     mentions = docs.select("doc_id", (F.col("n_chars") % 700).alias("start"), (F.col("n_chars") % 700 + 150).alias("end"))
     return E.verified_misses(quotes, mentions)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import unwrap
 from spanloom.operators import text as T
-from spanloom.plans.base import load, registrar
+from spanloom.plans.base import load, registrar, sql_values, values
 
 QUERIES, ORACLE_SQL, register = registrar()
 
@@ -88,7 +88,7 @@ def headings(spark, sf_dir):
 def page_lookup(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("d"), "doc_id", "n_chars")
     w = Window.partitionBy("d").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = d.withColumn("end", F.sum("n_chars").over(w)).groupBy("d").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("page"), (F.col("end") - F.col("n_chars")).alias("start"), "end"))).alias("page_map"), F.sum("n_chars").alias("total"))
+    spans = d.withColumn("end", F.sum("n_chars").over(w)).groupBy("d").agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("page"), (F.col("end") - F.col("n_chars")).alias("start"), "end"))).alias("page_map"), F.sum("n_chars").alias("total"))  # numbers only, as a book's page map has them
     off = spans.select("d", "page_map", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.floor(F.col("total") * i / 7))).alias("off"))
     return off.select("d", "off", T.page_at(F.col("page_map"), F.col("off")).cast("long").alias("page")).distinct()
 
@@ -126,6 +126,20 @@ def chunks(spark, sf_dir):
     return segmented(spark, sf_dir).select("doc_id", F.inline("chunks"))
 
 
+#: Sentences of our own with the tokens they must have: text/kind, by one space.
+EXAMPLES = [
+    (1, "Ms. A. B. Nkemelu left M&S in the U.K. with 2,750.25 on Mt. Kenya.", "Ms./word A./word B./word Nkemelu/word left/word M&S/word in/word the/word U.K./word with/word 2,750.25/number on/word Mt./word Kenya/word ./punct"),
+    (2, "Nokia's Espoo-based crew saw D'Arcy & Sons.", "Nokia/word 's/possessive Espoo/word -/punct based/word crew/word saw/word D'Arcy/word &/punct Sons/word ./punct"),
+    (3, "NASA'S 3rd (2021-06-30) test: 12.5%!", "NASA/word 'S/possessive 3/number rd/word (/punct 2021-06-30/number )/punct test/word :/punct 12.5%/number !/punct"),
+]
+
+
+@register("SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_idx, regexp_replace(x, '/[a-z]+$', '') AS text, regexp_extract(x, '[a-z]+$') AS kind FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS x, unnest(range(1, len(string_split(t, ' ')) + 1)) AS i FROM (VALUES " + sql_values([(i, t) for i, _, t in EXAMPLES]) + ") v(doc_id, t))")
+def token_examples(spark, sf_dir):
+    docs = values(spark, [(i, t) for i, t, _ in EXAMPLES], "doc_id bigint, text string")
+    return T.tokens_of(T.segment(docs)).select("doc_id", "tok_idx", "text", "kind")
+
+
 @register()
 def normalize_pages(spark, sf_dir):
     """Documents of a source and language joined as pages of one, fifty pages a document."""

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import short_hash
 from spanloom.schemas import BadInput, ExtractionSchema
+from spanloom.sources import storage
 
 CALLS = (
     "run_id string, variant string, doc_id string, chunk_id string, stage string, provider string, model string, request_id string, started_at timestamp, latency_ms double, wall_ms double, attempts int, "
@@ -57,13 +56,13 @@ def load_gold(spark: SparkSession, path: str, schema: ExtractionSchema) -> DataF
 
 
 def load_prices(spark: SparkSession, path: str) -> DataFrame:
-    raw = json.loads(Path(path).read_text())
+    raw = json.loads(storage.read_text(spark, path))
     return spark.createDataFrame([(m, float(p["input"]), float(p["output"]), p.get("cacheRead"), p.get("cacheWrite")) for m, p in raw.items()], "model string, input double, output double, cache_read double, cache_write double")
 
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines call log; a missing one is empty, blank lines don't count."""
-    if not Path(re.sub("^file:", "", path)).exists():
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], CALLS)
     return spark.read.schema(CALLS).json(path)
 
@@ -73,13 +72,13 @@ def append_calls(calls: DataFrame, path: str) -> None:
 
 
 def write_artifact(df: DataFrame, root: str, name: str) -> None:
-    """One stage's table of a run; df has run_id, which becomes the partition."""
-    df.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/{name}")
+    """One stage's table of a run; df has run_id, which becomes the partition. Other runs stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{root}/{name}")
 
 
 def read_run(spark: SparkSession, root: str, run_id: str, names: tuple[str, ...] = ("documents", "segments", "mentions", "entities", "relations", "manifest")) -> dict[str, DataFrame]:
     """A run's tables, by partition pruning on run_id."""
-    return {n: spark.read.parquet(f"{root}/{n}").where(F.col("run_id") == run_id) for n in names if Path(f"{root}/{n}").exists()}
+    return {n: spark.read.parquet(f"{root}/{n}").where(F.col("run_id") == run_id) for n in names if storage.exists(spark, f"{root}/{n}")}
 
 
 def finished_runs(manifests: DataFrame, accuracy: DataFrame) -> DataFrame:
@@ -91,3 +90,28 @@ def add_to_cache(cache: DataFrame | None, answers: DataFrame, path: str, key: st
     """New keys are appended; known ones stay as they are."""
     fresh = answers.dropDuplicates([key])
     (fresh if cache is None else fresh.join(cache.select(key), key, "left_anti")).write.mode("append").parquet(path)
+
+
+def write_accuracy(spark: SparkSession, judgements: DataFrame, accuracy: dict, root: str) -> None:
+    """A run's judgements as JSON lines and its accuracy, one object."""
+    judgements.write.mode("overwrite").json(f"{root}/judge.jsonl")
+    storage.create_text(spark, f"{root}/accuracy.json", json.dumps(accuracy, indent=2, ensure_ascii=False), overwrite=True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Quoted where a field needs it, quotes doubled, with a header; one folder of parts."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def write_bench(calls: DataFrame, failures: DataFrame, gold: DataFrame, root: str) -> None:
+    """What a benchmark leaves: its calls, a line for each failure, and the gold scores."""
+    calls.write.mode("overwrite").json(f"{root}/calls.jsonl")
+    failures.write.mode("overwrite").text(f"{root}/failures.txt")
+    gold.write.mode("overwrite").json(f"{root}/gold.json")
+
+
+def dashboard_tables(spark: SparkSession, root: str, run_ids: list[str]) -> dict[str, DataFrame]:
+    """The tables a dashboard shows of some runs, each with its run's ordinal in the order asked for."""
+    order = spark.createDataFrame(list(enumerate(run_ids)), "ordinal int, run_id string")
+    names = ("documents", "mentions", "entities", "relations", "manifest")
+    return {n: spark.read.parquet(f"{root}/{n}").where(F.col("run_id").isin(run_ids)).join(order, "run_id") for n in names if storage.exists(spark, f"{root}/{n}")}

@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -7,9 +8,11 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.names import is_acronym_of, is_token_subset, jaro_winkler_of
 from spanloom.functions.text import name_tokens, normalize_name, unwrap
-from spanloom.operators import answers, entities, evaluation, graph, ner, relations, report
+from spanloom.operators import answers, entities, evaluation, graph, judging, ner, questions, relations, report
 from spanloom.operators import text as T
+from spanloom.operators.components import connected_components
 from spanloom.schemas import BadInput, parse_schema
+from spanloom.sources import storage, tables
 
 
 def test_tokens_index_back_and_kinds():
@@ -62,6 +65,90 @@ def test_span_rules(spark):
     assert got == [("org", 1, 3), ("person", 8, 10)]
 
 
+def tagged(spark, text, kinds):
+    """(docs, tokens) of a text by our own tokenizer; kinds: type by word."""
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    tokens = T.tokens_of(T.segment(docs))
+    of = F.create_map(*(F.lit(x) for k, v in kinds.items() for x in (k, v)))
+    return docs, tokens.withColumn("type", F.when(F.col("kind").isin("word", "number"), of[F.col("text")])).withColumn("p", F.lit(0.9))
+
+
+def spans_in(spark, text, kinds):
+    docs, tokens = tagged(spark, text, kinds)
+    return sorted(r.text for r in ner.close_brackets(ner.span_islands(tokens), docs).collect())
+
+
+def test_spans_through_the_tokenizer(spark):
+    org = dict.fromkeys(("Marks", "Spencer", "M&S", "Baker", "Hughes"), "org")
+    assert spans_in(spark, "They left Marks & Spencer early.", org) == ["Marks & Spencer"]
+    assert spans_in(spark, "M&S grew, and Baker, Hughes fell.", org) == ["Baker", "Hughes", "M&S"]
+    law = dict.fromkeys(("Directive", "EC", "95/46", "Hamas", "Qassam"), "law")
+    assert spans_in(spark, "See Directive (EC) 95/46 now.", law) == ["Directive (EC) 95/46"]
+    assert spans_in(spark, "The group Hamas (Qassam) fled.", law) == ["Hamas (Qassam)"]
+
+
+def candidates_of(spark, text, tok_from, tok_to, others=()):
+    docs, tokens = tagged(spark, text, {"x": "x"})
+    spans = [(1, "c0000", i, 0, a, b) for i, (a, b) in enumerate([(tok_from, tok_to), *others])]
+    spans = spark.createDataFrame(spans, "doc_id bigint, chunk_id string, span_id int, sent_idx int, tok_from int, tok_to int")
+    found = ner.boundary_candidates(spans, tokens, docs).where("span_id = 0").orderBy("ord").collect()
+    assert all(text[r.start : r.end] == r.text for r in found)
+    return [r.text for r in found]
+
+
+def test_boundary_candidates(spark):
+    got = candidates_of(spark, "The Oslo Winter Games opened in the Hague's old hall.", 2, 2)
+    assert got[0] == "Winter" and "Oslo Winter Games" in got and "Winter Games opened" in got
+    assert not any(g.startswith("The ") or g.endswith((" in", "'s")) for g in got) and len(set(got)) == len(got)
+    assert "in The Hague" not in (got := candidates_of(spark, "He stayed in The Hague today.", 4, 4)) and "The Hague" in got
+    assert "Hamas (Qassam)" in candidates_of(spark, "The Hamas (Qassam) fled.", 1, 3)
+    assert all("\n" not in g for g in candidates_of(spark, "Annual Report\nNew York wins", 2, 3))
+    assert "Oslo Winter Games Expo" in candidates_of(spark, "Big Oslo Winter Games Expo ended.", 1, 1, [(3, 4)])
+    assert candidates_of(spark, " ".join(f"w{i}" for i in range(60)) + ".", 0, 50) == []
+
+
+def test_questions_resolve_a_fragment_to_its_name(spark):
+    """The tagger found a part; the boundary answer gives the whole phrase, the type answer its kind."""
+    text = "Next day the Oslo Winter Games opened in Bergen ."
+    docs, tokens = tagged(spark, text, {"x": "x"})
+    spans = spark.createDataFrame([(1, "c0000", 0, 0, 4, 4), (1, "c0000", 1, 0, 3, 5), (1, "c0000", 2, 0, 8, 8)], "doc_id bigint, chunk_id string, span_id int, sent_idx int, tok_from int, tok_to int")
+    found = ner.boundary_candidates(spans, tokens, docs)
+    asked = {r.q_id: r for r in questions.boundary_questions(found, spans, tokens, docs).collect()}
+    assert asked["b0"].marked == "Next day the Oslo [[Winter]] Games opened in Bergen ." and asked["b0"].options[-1] == "none" and "Oslo Winter Games" in asked["b0"].options
+    said = spark.createDataFrame([(1, "c0000", 0, "Oslo Winter Games", 0.1, 0.6), (1, "c0000", 1, "Oslo Winter Games", 0.05, 0.9), (1, "c0000", 2, "Bergen", 0.2, 0.8)], "doc_id bigint, chunk_id string, span_id int, choice string, p_none double, p_choice double")
+    phrases = questions.picked_phrases(found, said)
+    assert [(r.phrase_id, r.text) for r in phrases.orderBy("phrase_id").collect()] == [(0, "Oslo Winter Games"), (1, "Bergen")]
+    schema = parse_schema({"entities": {"event": "what happens", "place": "where"}, "relations": {}})
+    types = {r.phrase_id: r for r in questions.type_questions(phrases, tokens, docs, schema).collect()}
+    assert types[0].options == {"event": "what happens", "place": "where", "not_an_entity": questions.PHRASE_TEXT}
+    answers = spark.createDataFrame([(1, "c0000", 0, "event", 0.9), (1, "c0000", 1, "place", 0.4)], "doc_id bigint, chunk_id string, phrase_id int, choice string, p_choice double")
+    got = questions.resolved_mentions(phrases, answers, tokens).collect()
+    assert [(r.mention_id, r.text, r.type, r.status) for r in got] == [("c0000-m0", "Oslo Winter Games", "event", "accepted")]
+    states = questions.chunk_states(spark.createDataFrame([(1, "c0000", 9, 20, "Next day")], "doc_id bigint, id string, start int, end int, context_before string"), docs, schema, lean=True).first()
+    assert json.loads(states.state) == {"kinds": {"event": "what happens", "place": "where"}, "context_before": "Next day", "text": text[9:20]}
+
+
+def test_alignment_questions(spark):
+    m = spark.createDataFrame([("d", 1, 1, "org", "International Tea Board", "c1"), ("d", 2, 2, "org", "I.T.B.", "c2"), ("d", 3, 3, "org", "Tea Board", None), ("d", 4, 4, "org", "Ｔｅａ Board", "c3")], "doc_id string, ord int, mention_id int, type string, text string, context string")
+    nodes = entities.name_nodes(m, ["doc_id"])
+    assert {r.normalized for r in nodes.collect()} == {"international tea board", "i t b", "tea board"}
+    pairs = entities.candidate_pairs(nodes, ["doc_id"])
+    got = {(r.a, r.b): r.reason for r in pairs.collect()}
+    assert got[("international tea board", "i t b")] == "acronym" and got[("international tea board", "tea board")] == "subset"
+    q = {r.b: r for r in questions.alignment_questions(pairs, nodes, ["doc_id"]).collect()}
+    assert q["i t b"].entity_b.name == "I.T.B." and q["tea board"].entity_b.contexts == ["c3"]
+    assert entities.candidate_pairs(nodes, ["doc_id"], most=None).count() == len(got) and entities.candidate_pairs(nodes, ["doc_id"], most=1).first().dropped == len(got) - 1
+
+
+def test_quotes_of_any_length(spark):
+    texts = {1: "one two three four five six seven eight", 2: "wo three fo", 3: "", 4: "x one two three four five six seven eight nine"}
+    quotes = {"a": "wo three four five six seven ei", "b": "hre", "c": "three four five", "d": "two three", "e": " ", "f": "zz", "g": "e", "h": "one two three four five six seven eight"}
+    docs, q = spark.createDataFrame(list(texts.items()), "doc_id int, text string"), spark.createDataFrame(list(quotes.items()), "quote_id string, quote string")
+    got = sorted((r.doc_id, r.quote_id) for r in evaluation.quoted(docs, q).collect())
+    assert got == sorted((d, k) for d, t in texts.items() for k, x in quotes.items() if x.strip() and x in t)
+    assert evaluation.quoted(docs, q.limit(0)).count() == 0
+
+
 def test_overlaps_prefer_accepted_then_longer(spark):
     df = spark.createDataFrame([(1, 0, 0, 9, 0.5), (1, 1, 0, 4, 0.8), (1, 2, 4, 9, 0.75), (1, 3, 3, 5, 0.99)], "k int, ord int, start int, end int, confidence double")
     assert [(r.start, r.end) for r in ner.drop_overlaps(df, ["k"]).orderBy("idx").collect()] == [(0, 4), (4, 9)]
@@ -78,7 +165,7 @@ def test_names(spark):
 
 def test_alignment_and_components(spark):
     assert [r[0] for r in spark.createDataFrame([(-1.0,), (0.49,), (0.5,), (1.5,), (9.0,)], "s double").select(entities.route(F.col("s"))).collect()] == ["different", "different", "review", "same", "same"]
-    c = entities.components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a int, b int"))
+    c = connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a int, b int"))
     assert {r.node: r.component for r in c.collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
@@ -124,10 +211,57 @@ def test_double_load_changes_nothing(spark, tmp_path):
     r = r.where("target_id <> 'gone'")
     for _ in range(2):
         store.load(e, r, docs)
-        assert store.counts() == {"entities": 2, "relations": 1}
+        assert store.counts() == {"documents": 1, "entities": 2, "relations": 1, "mentioned_in": 0, "mentions": 0}
     assert sorted(store.read("entities").where("entity_id = 'x'").first().aliases) == ["A"]
 
 
+def test_store_keeps_what_other_documents_mention(spark, tmp_path):
+    e = lambda *ids: spark.createDataFrame([(i, "org", i, [], 0.5) for i in ids], "entity_id string, type string, canonical_name string, aliases array<string>, confidence double")
+    r = lambda *rows: spark.createDataFrame(list(rows), "source_id string, type string, target_id string, doc_id int, count int, confidence double")
+    at = lambda *rows: spark.createDataFrame([(i, d, 1, ["1"]) for i, d in rows], "entity_id string, doc_id int, count bigint, pages array<string>")
+    one, two = (spark.createDataFrame([(d, f"title {d}")], "doc_id int, title string") for d in (1, 2))
+    store = graph.ParquetGraph(spark, str(tmp_path / "store"))
+    assert store.counts()["entities"] == 0
+    store.load(e("lone", "a"), r(("a", "works_for", "nobody", 1, 1, 0.5)), one, at(("lone", 1), ("a", 1)))
+    store.load(e("b"), r(), two, at(("b", 2)))
+    ids = lambda: sorted(x.entity_id for x in store.read("entities").collect())
+    assert ids() == ["a", "b", "lone"] and store.counts() == {"documents": 2, "entities": 3, "relations": 0, "mentioned_in": 3, "mentions": 0}
+    store.load(e("a"), r(), one, at(("a", 1)))
+    assert ids() == ["a", "b"] and sorted(x.title for x in store.read("documents").collect()) == ["title 1", "title 2"]
+    # a load that fails leaves what there was
+    bad = e("z").withColumn("type", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        store.load(bad, r(), two, at(("z", 2)))
+    assert ids() == ["a", "b"] and store.counts()["mentioned_in"] == 2
+    path = str(tmp_path / "script")
+    graph.export_script(path, store.read("entities"), documents=one.withColumns({"sha256": F.lit("s"), "path": F.lit(None).cast("string"), "page_count": F.lit(1)}), mentioned=store.read("mentioned_in"))
+    assert spark.read.text(path).where("value like '%MENTIONED_IN%'").count() == 2
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    assert tables.read_calls(spark, str(tmp_path / "none")).count() == 0 and tables.read_run(spark, str(tmp_path / "no"), "r") == {}
+    for run in ("r1", "r2"):
+        tables.write_artifact(spark.createDataFrame([(1, run)], "x int, run_id string"), str(tmp_path), "mentions")
+    assert {x.run_id for x in spark.read.parquet(str(tmp_path / "mentions")).collect()} == {"r1", "r2"} and tables.read_run(spark, str(tmp_path), "r1")["mentions"].count() == 1
+    shown = tables.dashboard_tables(spark, str(tmp_path), ["r2", "r1"])["mentions"]
+    assert [x.run_id for x in shown.orderBy("ordinal").collect()] == ["r2", "r1"]
+    tables.write_csv(spark.createDataFrame([('say "hi", you',)], "a string"), str(tmp_path / "csv"))
+    assert '"say ""hi"", you"' in [x.value for x in spark.read.text(str(tmp_path / "csv")).collect()]
+    tables.write_accuracy(spark, spark.range(2), {"f1": None}, str(tmp_path))
+    assert storage.read_text(spark, str(tmp_path / "accuracy.json")) == '{\n  "f1": null\n}'
+
+
+def test_components_of_a_long_chain(spark):
+    chain = spark.range(100_000).selectExpr("(id * 7919) % 100003 as a", "((id + 1) * 7919) % 100003 as b")
+    r = connected_components(chain).agg(F.count("*"), F.countDistinct("component"), F.max("component")).first()
+    assert tuple(r) == (100_001, 1, 0)
+
+
+def test_judge_windows(spark):
+    gold = spark.createDataFrame([(1, "p", "Ann left", [("Ann", "person")])], "ord int, id string, text string, entities array<struct<text:string,type:string>>")
+    assert {r["case"] for r in judging.check_cases(gold, ["person", "place"]).collect()} == {"gold", "shuffled", "empty"}
+
+
 def test_script_safety(spark):
     assert graph.inline_params("SET n = $a, m = $b", {"a": "$b \"q\"", "b": [1, None, float("nan"), True, {"k": "v"}]}) == 'SET n = "$b \\"q\\"", m = [1, null, null, true, {k: "v"}]'
     with pytest.raises(ValueError):
