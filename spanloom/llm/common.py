@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from spanloom.operators.components import cut
+
+__all__ = ["buckets_for", "byte_batches", "cut", "held_out", "sample_order", "shuffle_width", "table", "words"]
+
 #: Bytes of an Arrow batch, for operators whose rows hold whole texts.
 BATCH_BYTES = 1_000_000
 
@@ -17,32 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set and all tasks run in this process (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return named or LOCAL_CHECKPOINTS
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    Spark removes shuffle files, and checkpoints where cleanCheckpoints is set, once the driver has
-    collected what refers to them, frames (which are in reference cycles) here and their plans in the
-    JVM; both collections are asked for, as an idle driver may not collect for a long time while many
-    rounds leave their files.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-    return out
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
