@@ -81,19 +81,22 @@ def normalize_pages(pages: DataFrame) -> DataFrame:
     clean = clean.withColumn("longest", longest)
     heading = lambda x, i: (F.length(trim_all(x)) > 0) & (F.length(trim_all(x)) < HEADING_SHARE * F.col("longest")) & ~x.rlike(r"[.!?,;:-]$") & F.coalesce(F.get("lines", i + 1).rlike(r"^[\p{Lu}\p{N}]"), F.lit(False))
     clean = clean.withColumn("body", unwrap(F.array_join(F.transform("lines", lambda x, i: F.when(heading(x, i), F.concat(x, F.lit("\n"))).otherwise(x)), "\n")))
-    kept = F.when(~F.col("skipped") & (F.length("body") > 0), F.struct("page", "body"))
-    grouped = clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(kept)).alias("bodies"), F.array_sort(F.collect_list(F.when(F.col("skipped"), F.col("page")))).alias("skipped_pages"), F.count("*").alias("page_count"))
-    empty = F.struct(F.lit("").alias("text"), F.array().cast("array<struct<page:int,start:int,end:int>>").alias("map"))
-
-    def add(acc, p):
-        hyphen = acc["text"].rlike(r"\p{L}-$") & p["body"].rlike(r"^\p{Ll}")
-        base = F.when(hyphen, F.substring(acc["text"], F.lit(1), F.length(acc["text"]) - 1)).otherwise(acc["text"])
-        gap = F.when((acc["text"] == "") | hyphen, F.lit("")).when(acc["text"].rlike(r"[.!?:;\"'”’)\]]$"), F.lit("\n\n")).otherwise(F.lit(" "))
-        start = F.length(base) + F.length(gap)
-        span = F.struct(p["page"].cast("int").alias("page"), start.alias("start"), (start + F.length(p["body"])).alias("end"))
-        return F.struct(F.concat(base, gap, p["body"]).alias("text"), F.concat(acc["map"], F.array(span)).alias("map"))
-
-    return grouped.withColumn("d", F.aggregate("bodies", empty, add)).select("doc_id", F.col("d.text").alias("text"), F.col("d.map").alias("page_map"), "skipped_pages", "page_count", F.sha2("d.text", 256).alias("sha256"), short_hash(F.col("d.text")).alias("content_id"))
+    about = clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("skipped"), F.col("page")))).alias("skipped_pages"), F.count("*").alias("page_count"))
+    # what stands between two pages depends on their ends alone, so the pages of a document are put together in one pass
+    order = Window.partitionBy("doc_id").orderBy("page", "body")
+    rows = clean.where(~F.col("skipped") & (F.length("body") > 0)).select("doc_id", F.col("page").cast("int").alias("page"), "body")
+    rows = rows.withColumn("prev", F.lag("body").over(order)).withColumn("next", F.lead("body").over(order))
+    broken = lambda a, b: F.coalesce(a.rlike(r"\p{L}-$") & b.rlike(r"^\p{Ll}"), F.lit(False))
+    gap = F.when(F.col("prev").isNull() | broken(F.col("prev"), F.col("body")), F.lit("")).when(F.col("prev").rlike(r"[.!?:;\"'”’)\]]$"), F.lit("\n\n")).otherwise(F.lit(" "))
+    rows = rows.withColumn("gap", gap).withColumn("cut", F.when(broken(F.col("body"), F.col("next")), 1).otherwise(0))
+    before = F.coalesce(F.sum(F.length("gap") + F.length("body") - F.col("cut")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    rows = rows.withColumn("at", F.row_number().over(order)).withColumn("start", before + F.length("gap"))
+    piece = F.concat("gap", F.substring("body", F.lit(1), F.length("body") - F.col("cut")))
+    part = F.struct("at", F.struct("page", "start", (F.col("start") + F.length("body")).cast("int").alias("end")).alias("span"), piece.alias("piece"))
+    texts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    found = about.join(texts, "doc_id", "left").withColumn("text", F.coalesce(F.array_join(F.transform("p", lambda x: x["piece"]), ""), F.lit("")))
+    page_map = F.coalesce(F.transform("p", lambda x: x["span"]), F.array().cast("array<struct<page:int,start:int,end:int>>"))
+    return found.select("doc_id", "text", page_map.alias("page_map"), "skipped_pages", "page_count", F.sha2("text", 256).alias("sha256"), short_hash(F.col("text")).alias("content_id"))
 
 
 def page_at(page_map, offset):

@@ -38,11 +38,16 @@ SIGS = rf"""
     s AS (SELECT DISTINCT doc_id, page, lower(regexp_replace({trim('line')}, '[0-9]+', '#', 'g')) AS sig FROM e)"""
 
 
+#: The same pages with a running head and foot, numbered.
+HEADED = "SELECT doc_id, page, 'Volume ' || doc_id || chr(10) || text || chr(10) || '- ' || page || ' -' AS text FROM (" + PAGES + ")"
+
+
 @register(f"""
-    WITH p AS ({PAGES}), {SIGS}, n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY 1)
+    WITH p AS ({HEADED}), {SIGS}, n AS (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY 1)
     SELECT doc_id, sig, count(DISTINCT page) AS on_pages FROM s JOIN n USING (doc_id) GROUP BY doc_id, sig, pages HAVING pages >= 3 AND count(DISTINCT page) >= greatest(3, ceil(pages * 0.5))""")
 def running_lines(spark, sf_dir):
-    return T.running_lines(pages(spark, sf_dir))
+    head, foot = F.concat(F.lit("Volume "), "doc_id", F.lit("\n")), F.concat(F.lit("\n- "), F.col("page").cast("string"), F.lit(" -"))
+    return T.running_lines(pages(spark, sf_dir).withColumn("text", F.concat(head, "text", foot)))
 
 
 @register(f"WITH p AS ({PAGES}), {SIGS} SELECT sig, count(*) AS on_pages FROM s GROUP BY sig HAVING count(*) > 1")

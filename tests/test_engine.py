@@ -301,6 +301,23 @@ def test_queries_match_their_sql(spark):
     assert not bad
 
 
+def test_flow_joins_a_short_name_with_the_full_one(spark):
+    """A fragment is resolved to the phrase, its short form aligned with it, and the relation holds of one entity."""
+    from spanloom.plans import flagship
+
+    docs = spark.createDataFrame([(1, "The Tervo Harbour Trust hired Lena Brask. Lena Brask left T.H.T. later. The Harbour Trust sued."), (2, "Nothing here."), (3, None)], "doc_id bigint, text string")
+    lexicon = spark.createDataFrame([(w, "organization") for w in ("Tervo", "Harbour", "Trust", "T.H.T.")] + [("Lena", "person"), ("Brask", "person")], "word string, kind_of string")
+    m = flagship.extract(docs, lexicon)
+    assert sorted(r.text for r in m.collect()) == ["Harbour Trust", "Lena Brask", "Lena Brask", "T.H.T.", "Tervo Harbour Trust"]
+    signatures = spark.createDataFrame([(0, "hired", "organization", "person", "A hired B")], "ordinal int, relation string, domain_kind string, range_kind string, text string")
+    found, related = flagship.graph_of(m, signatures)
+    by = {r.canonical_name: r for r in found.collect()}
+    assert set(by) == {"Tervo Harbour Trust", "Lena Brask"} and by["Tervo Harbour Trust"].aliases == ["Harbour Trust", "T.H.T."] and by["Tervo Harbour Trust"].mentions == 3
+    r = related.collect()
+    assert [(x.source_id, x.target_id, x["count"]) for x in r] == [(by["Tervo Harbour Trust"].entity_id, by["Lena Brask"].entity_id, 2)]
+    assert flagship.extract(docs, lexicon, resolve=False).count() == 5
+
+
 def test_flagship_and_mentions_are_verbatim(spark):
     from spanloom.plans.registry import QUERIES
 
