@@ -88,3 +88,24 @@ def cache_probe(requests: DataFrame, cache: DataFrame, key: str = "cache_key") -
     """(hits, misses): requests whose key is in the cache, with its columns, and the others."""
     once = cache.dropDuplicates([key])
     return requests.join(once, key), requests.join(once.select(key), key, "left_anti")
+
+
+def ask(questions: DataFrame, states: DataFrame, answerer: Answerer, cache: DataFrame, model: str, order: str = "q_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers, calls, new cache rows): a request holds the questions of a state; one that the cache knows is not asked.
+
+    questions: doc_id, chunk_id, stage, q_id, text, options; states: doc_id, chunk_id, state; cache:
+    cache_key, answers (array of q_id, choice, confidence). Requests that are equal are asked once. A
+    call's row says how many questions it had, how large it was, and whether the cache had it. The
+    pacer (operators.report.pacer) gives such rows their start times.
+    """
+    by = ["doc_id", "chunk_id", "stage"]
+    asked = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "q_id", "text", "options")))
+    requests = questions.groupBy(*by).agg(asked.alias("questions")).join(states, ["doc_id", "chunk_id"])
+    requests = requests.withColumn("cache_key", cache_key(F.lit(model), F.col("state"), F.to_json("questions")))
+    hits, misses = cache_probe(requests, cache)
+    open_questions = misses.dropDuplicates(["cache_key"]).select("cache_key", "state", F.explode("questions").alias("q")).select("cache_key", "state", "q.q_id", "q.text", "q.options")
+    fresh = answerer.answer(open_questions).groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("q_id", "choice", "confidence"))).alias("answers"))
+    done = hits.select(*by, "cache_key", "state", "questions", "answers", F.lit(True).alias("cached")).unionByName(misses.join(fresh, "cache_key").select(*by, "cache_key", "state", "questions", "answers", F.lit(False).alias("cached")))
+    answers = done.select(*by, F.explode("answers").alias("a")).select(*by, "a.*")
+    calls = done.select(*by, F.lit(model).alias("model"), F.size("questions").alias("question_count"), F.length("state").alias("state_chars"), F.octet_length(F.concat("state", F.to_json("questions"))).cast("long").alias("request_bytes"), "cached")
+    return answers, calls, fresh

@@ -84,7 +84,9 @@ def normalize_pages(pages: DataFrame) -> DataFrame:
     about = clean.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("skipped"), F.col("page")))).alias("skipped_pages"), F.count("*").alias("page_count"))
     # what stands between two pages depends on their ends alone, so the pages of a document are put together in one pass
     order = Window.partitionBy("doc_id").orderBy("page", "body")
-    rows = clean.where(~F.col("skipped") & (F.length("body") > 0)).select("doc_id", F.col("page").cast("int").alias("page"), "body")
+    # through explode, so that the filter isn't pushed below the steps that make a body, each of which it would repeat
+    rows = clean.select("doc_id", F.explode(F.array(F.struct(F.col("page").cast("int").alias("page"), "body", "skipped"))).alias("r")).select("doc_id", "r.*")
+    rows = rows.where(~F.col("skipped") & (F.length("body") > 0)).drop("skipped")
     rows = rows.withColumn("prev", F.lag("body").over(order)).withColumn("next", F.lead("body").over(order))
     broken = lambda a, b: F.coalesce(a.rlike(r"\p{L}-$") & b.rlike(r"^\p{Ll}"), F.lit(False))
     gap = F.when(F.col("prev").isNull() | broken(F.col("prev"), F.col("body")), F.lit("")).when(F.col("prev").rlike(r"[.!?:;\"'”’)\]]$"), F.lit("\n\n")).otherwise(F.lit(" "))

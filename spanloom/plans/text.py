@@ -39,7 +39,7 @@ SIGS = rf"""
 
 
 #: The same pages with a running head and foot, numbered.
-HEADED = "SELECT doc_id, page, 'Volume ' || doc_id || chr(10) || text || chr(10) || '- ' || page || ' -' AS text FROM (" + PAGES + ")"
+HEADED = "SELECT source || '/' || lang AS doc_id, doc_id AS page, 'Volume ' || source || '/' || lang || chr(10) || text || chr(10) || '- ' || doc_id || ' -' AS text FROM documents"
 
 
 @register(f"""

@@ -257,6 +257,18 @@ def test_components_of_a_long_chain(spark):
     assert tuple(r) == (100_001, 1, 0)
 
 
+def test_requests_are_asked_once(spark):
+    q = spark.createDataFrame([(d, "c0", "tag", f"t{i}", w, ["city", "none"]) for d in (1, 2, 3) for i, w in enumerate(("Oslo", "runs"))], "doc_id int, chunk_id string, stage string, q_id string, text string, options array<string>")
+    states = spark.createDataFrame([(1, "c0", "same"), (2, "c0", "same"), (3, "c0", "other")], "doc_id int, chunk_id string, state string")
+    lexicon = answers.LexiconAnswerer(spark.createDataFrame([("Oslo", "city")], "key string, value string"))
+    none = spark.createDataFrame([], "cache_key string, answers array<struct<q_id:string,choice:string,confidence:double>>")
+    got, calls, fresh = answers.ask(q, states, lexicon, none, "m")
+    assert sorted((r.doc_id, r.q_id, r.choice) for r in got.collect()) == [(d, *x) for d in (1, 2, 3) for x in (("t0", "city"), ("t1", "none"))]
+    assert fresh.count() == 2 and [(r.question_count, r.cached) for r in calls.collect()] == [(2, False)] * 3
+    again, calls, more = answers.ask(q, states, lexicon, fresh, "m")
+    assert more.count() == 0 and all(r.cached for r in calls.collect()) and again.count() == 6
+
+
 def test_judge_windows(spark):
     gold = spark.createDataFrame([(1, "p", "Ann left", [("Ann", "person")])], "ord int, id string, text string, entities array<struct<text:string,type:string>>")
     assert {r["case"] for r in judging.check_cases(gold, ["person", "place"]).collect()} == {"gold", "shuffled", "empty"}
