@@ -517,3 +517,40 @@ def test_pipeline(spark, docs):
     assert 0 < counts[2] <= counts[1] == counts[0] <= docs.count()
     out = corpus_pipeline.STAGES[-1][1](spark, stage, SF)
     assert out.count() == counts[3]
+
+
+def test_embeddings_odd_rows(spark):
+    """Null and repeated ids, another length, a clashing column, an empty table."""
+    v, w = [1.0, 0.0, 0.5], [1.0, 0.0]
+    rows = [(1, v, 7), (1, v, 8), (2, w, 7), (3, [2 * x for x in v], 7), (None, v, 7), (4, [-x for x in v], 7), (5, [1.0, None, 1.0], 7)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, n_links bigint")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(0, 0, 0, True), (1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (3, 2, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, None), (None, "x"), (None, "y z"), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("sketch", F.lit("own"))
+    got = fingerprints.digests(fingerprints.edited_pairs(df)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t or "")) for i, t in rows)
+    assert len({r.fingerprint for r in got if r.doc_id == 1}) == 1 and {r.fingerprint for r in got if r.doc_id in (2, 3)} == {""}
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+def test_components_of_null_ends(spark):
+    df = spark.createDataFrame([(1, None), (None, 2), (3, 4), (4, 3)], "a int, b int")
+    assert {r.node: r.component for r in connected_components(df).collect()} == {3: 3, 4: 3}
+    assert connected_components(df.limit(0)).count() == 0
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    """Nulls, empties, repeated rows, clashing columns and an empty table go through every stage; a user's columns come back as they were."""
+    for start in (odd, odd.limit(0)):
+        stage = start
+        for name, f in corpus_pipeline.STAGES[1:-1]:
+            before = {(r.doc_id, r.score, r._plan, r.slot) for r in stage.collect()}
+            stage = f(spark, stage, SF).cache()
+            assert stage.columns == odd.columns and {(r.doc_id, r.score, r._plan, r.slot) for r in stage.collect()} <= before
+        assert corpus_pipeline.STAGES[-1][1](spark, stage, SF).count() == stage.count()
+        assert corpus_pipeline.STAGES[0][1](spark, start, SF).columns == odd.columns
