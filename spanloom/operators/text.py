@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,15 +187,34 @@ SEGMENTED = (
 )
 
 
+_INT, _TEXT = pa.int32(), pa.string()
+TYPES = (
+    [("start", _INT), ("end", _INT)],
+    [("text", _TEXT), ("start", _INT), ("end", _INT), ("kind", _TEXT), ("sentence", _INT), ("chunk_id", _TEXT)],
+    [("id", _TEXT), ("index", _INT), ("start", _INT), ("end", _INT), ("context_before", _TEXT), ("sentence_start", _INT), ("sentence_end", _INT), ("token_start", _INT), ("token_end", _INT)],
+)
+
+
 def segment(docs: DataFrame, max_askable: int = CHUNK_ASKABLE) -> DataFrame:
     """docs (doc_id, text) to one row of arrays a document; a null text has none of anything."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [segment_text(t or "", max_askable) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "sentences": [r[0] for r in rows], "tokens": [r[1] for r in rows], "chunks": [r[2] for r in rows]})
+            texts = batch.column(1).to_pylist()
+            for lo in range(0, len(texts), 200):  # rows that hold their tokens at once
+                rows = [segment_text(t or "", max_askable) for t in texts[lo : lo + 200]]
+                columns = [struct_lists([r[k] for r in rows], kind) for k, kind in enumerate(TYPES)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(rows)), *columns], ["doc_id", "sentences", "tokens", "chunks"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, SEGMENTED)
+
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, SEGMENTED)
+def struct_lists(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.ListArray:
+    """Lists of tuples as an Arrow column of lists of structs, made field by field."""
+    flat = [x for r in rows for x in r]
+    columns = list(zip(*flat, strict=True)) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, rows), initial=0)), pa.int32()), values)
 
 
 def tokens_of(segmented: DataFrame) -> DataFrame:
