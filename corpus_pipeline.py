@@ -11,7 +11,12 @@ from spanloom.llm.common import cut, table
 
 def held(docs: DataFrame) -> DataFrame:
     """Only what the operators read, beside the whole row: no column of docs can clash with theirs."""
-    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text", "source")
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), "doc_id", "text", "source", *metadata_of(docs))
+
+
+def metadata_of(docs: DataFrame) -> tuple[str, ...]:
+    """Metadata that the classifier may use: not labels, language, source or id."""
+    return tuple(c for c in docs.columns if c == "n_chars")
 
 
 def rows_of(found: DataFrame) -> DataFrame:
@@ -20,7 +25,7 @@ def rows_of(found: DataFrame) -> DataFrame:
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of docs that the quality classifier keeps; it learns from the labelled ones among them."""
-    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), meta_cols=metadata_of(docs))
     return rows_of(quality.score_documents(held(docs), machine).where("predicted = 1"))
 
 
