@@ -105,30 +105,30 @@ def askable_count(spark, sf_dir):
     return d.select("doc_id", F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")).cast("long").alias("askable"))
 
 
-def segmented(spark, sf_dir):
-    return T.segment(load(spark, sf_dir, "documents").select("doc_id", "text"))
+def segmented(spark, sf_dir, *parts):
+    return T.segment(load(spark, sf_dir, "documents").select("doc_id", "text"), parts=parts)
 
 
 @register()
 def sentences(spark, sf_dir):
-    s = segmented(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("sent_idx", "s"))
+    s = segmented(spark, sf_dir, "sentences").select("doc_id", F.posexplode("sentences").alias("sent_idx", "s"))
     return s.select("doc_id", "sent_idx", "s.start", "s.end")
 
 
 @register()
 def tokens(spark, sf_dir):
-    return T.tokens_of(segmented(spark, sf_dir))
+    return T.tokens_of(segmented(spark, sf_dir, "tokens"))
 
 
 @register()
 def token_kind_counts(spark, sf_dir):
-    t = segmented(spark, sf_dir).select(F.explode("tokens").alias("t"))
+    t = segmented(spark, sf_dir, "tokens").select(F.explode("tokens").alias("t"))
     return t.groupBy("t.kind").agg(F.count("*").alias("n"))
 
 
 @register()
 def chunks(spark, sf_dir):
-    return segmented(spark, sf_dir).select("doc_id", F.inline("chunks"))
+    return segmented(spark, sf_dir, "chunks").select("doc_id", F.inline("chunks"))
 
 
 #: Sentences of our own with the tokens they must have: text/kind, by one space.
