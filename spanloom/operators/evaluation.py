@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -120,10 +122,19 @@ def repeat_sample(rows: DataFrame, order: str, by: list[str], share: float = 0.1
     return at.where((F.col("at") % step == 0) & (F.floor(F.col("at") / step) < k)).drop("n")
 
 
-def occurrences(text: Column, quote: Column) -> Column:
-    """All (overlapping) places of a quote, counted from 0."""
-    last = F.length(text) - F.length(quote)
-    return F.when((F.length(quote) > 0) & (last >= 0), F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(text, i + 1, F.length(quote)) == quote)).otherwise(F.array().cast("array<int>"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def occurrences(text: pd.Series, quote: pd.Series) -> pd.Series:
+    """All (overlapping) places of a quote, counted from 0. A search goes on behind the last place found; Spark's substrings
+    would each count their way from the text's start."""
+
+    def places(t: str | None, q: str | None) -> list[int]:
+        found, at = [], t.find(q) if t and q else -1
+        while at >= 0:
+            found.append(at)
+            at = t.find(q, at + 1)
+        return found
+
+    return pd.Series([places(t, q) for t, q in zip(text, quote, strict=True)], dtype=object)
 
 
 def quoted(docs: DataFrame, quotes: DataFrame, words: int = 5) -> DataFrame:
